@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import shipping
+
 Q = 12
 #: Edits allowed per character of an item.
 EDIT_SHARE = 0.06
@@ -189,6 +191,7 @@ def benchmark_blocks(benchmark: DataFrame, *, id_col: str = "item_id", text_col:
 
 def contained_items(text: Column, block: list[tuple], spark) -> Column:
     """``array<struct<item_id, edits, item_chars>>`` of the items of a block that the text holds."""
+    shipping.ship(spark)
     ready = [(i, p) for i, p in ((i, plain(t)) for i, t in block) if p]
     share = spark.sparkContext.broadcast(ready)
     built: dict[str, Index] = {}

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import shipping
 from . import store
 from . import text as T
 
@@ -107,6 +108,7 @@ def mix(
     the driver, a row per source and shard one task per source.
     """
     spark = docs.sparkSession
+    shipping.ship(spark)
     rows = store.keep(
         docs.select(
             F.col(id_col).alias("doc_id"),

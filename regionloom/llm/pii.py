@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import shipping
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, *(f"hidden_{k}" for k in BASE_KINDS))
 
@@ -234,6 +236,8 @@ def scan_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     are ignored, an empty table gives an empty result.
     """
 
+    shipping.ship(docs.sparkSession)
+
     @F.pandas_udf("struct<n_email: long, n_ip: long, n_card: long, n_phone: long, n_hidden: long, base: string, spans: string>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:

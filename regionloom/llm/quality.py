@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import shipping
 from . import store
 
 STATISTICS = (
@@ -89,6 +90,8 @@ def statistics(text: str | None) -> list[float]:
 def document_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, stats``: one row per input row, whatever its other columns."""
 
+    shipping.ship(docs.sparkSession)
+
     @F.pandas_udf("array<double>")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

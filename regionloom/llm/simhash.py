@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import shipping
 from . import components, store
 
 SEGMENTS = 5
@@ -64,6 +65,8 @@ def fingerprint(text: str | None, *, shingle: int = 4, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """``doc_id, fp`` (the fingerprint's bits as a signed long): one row per input row."""
 
+    shipping.ship(docs.sparkSession)
+
     @F.pandas_udf("long")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -165,6 +168,7 @@ def links_by_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """Links ``a, b`` that connect what Hamming distance 4 connects among distinct ``fp``."""
+    shipping.ship(distinct.sparkSession)
     keyed = distinct.select("fp").mapInPandas(chain_keys, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(links_by_key, "a long, b long")
 

@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shipping
 from . import text as T
 
 #: Characters for which normalising is lower-casing, and for which all Unicode
@@ -112,6 +113,7 @@ def token_count(
     spark: SparkSession, text: Column, *, tokenizer_path: str | None = None, frequent: Iterable[str] = (), cache_entries: int = 300_000
 ) -> Column:
     """Tokens of ``text`` without begin, end or added special tokens; null counts as empty."""
+    shipping.ship(spark)
     path = tokenizer_path or default_tokenizer_path()
     table = spark.sparkContext.broadcast(frequent_lengths(path, frequent))
 
