@@ -27,13 +27,12 @@ def whole(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a non-null text, in order."""
-    return F.filter(F.split(text, WHITE_SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, WHITE_SPACE), "")
 
 
 def word_count(text: Column) -> Column:
     """Number of words of a non-null text."""
-    pieces = F.split(text, WHITE_SPACE)
-    return F.size(F.filter(pieces, lambda w: w != "")).cast("long")
+    return F.size(words(text)).cast("long")
 
 
 def utf8_bytes(text: Column) -> Column:
