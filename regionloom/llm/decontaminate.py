@@ -106,11 +106,11 @@ def banded_edits(item: np.ndarray, region: np.ndarray, budget: int) -> int:
     steps = np.arange(width)
     columns = steps - budget  # text position of a cell in row 0
     row = np.where((columns >= 0) & (columns <= m), 0, budget + 1)
-    padded = np.concatenate([np.zeros(budget + 1, dtype=region.dtype), region, np.zeros(width + n, dtype=region.dtype)])
+    padded = np.concatenate([np.zeros(budget, dtype=region.dtype), region, np.zeros(width + n, dtype=region.dtype)])
     for i in range(n):
         at = padded[i : i + width]  # the character before cell (i + 1, columns + i + 1)
         inside = (columns + i + 1 >= 0) & (columns + i + 1 <= m)
-        new = row + ((at != item[i]) | (columns + i < 0))
+        new = row + ((at != item[i]) | (columns + i < 0) | (columns + i >= m))
         new[:-1] = np.minimum(new[:-1], row[1:] + 1)
         new = np.where(inside, new, budget + 1)
         new = np.minimum.accumulate(new - steps) + steps
