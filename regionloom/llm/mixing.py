@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of blocks.
 
-Words are counted per (source, shard), where a shard is a fixed hash class of
-documents.  The mix is cut into blocks of equally many words.  Sources get whole
+Words are counted per (source, shard), where a shard is a hash class of the
+source's documents.  The mix is cut into blocks of equally many words.  Sources get whole
 numbers of blocks by highest quotients (weight over 1, 3, 5, ...), a source's
 blocks are handed to its shards in the same way by the words they hold, and within
 a shard a seeded choice of blocks is taken: documents are put in a seeded order,
@@ -10,7 +10,7 @@ round again if the quota asks for more than the shard holds.
 
 The two apportionments work on counts per source and per shard; documents are only
 hashed, numbered inside their (source, shard) and given their part.  A source that
-holds a third of all rows is spread over all shards.
+holds a third of all rows has a third of the shards.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from .. import shipping
 from . import store
 from . import text as T
 
-#: Documents that a (source, shard) holds on average, and the most shards there are.
-DOCS_PER_CELL, MOST_SHARDS = 64, 16384
+#: Documents that a source's shard holds on average, and the most shards a source has.
+DOCS_PER_CELL, MOST_SHARDS = 64, 1 << 18
 MOST_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 
@@ -118,10 +118,13 @@ def mix(
         ),
         "sizes",
     )
-    if shards is None:
-        seen = rows.agg(F.count("*").alias("n"), F.countDistinct(F.coalesce("source", F.lit("\0"))).alias("sources")).first()
-        shards = min(max(seen["n"] // (max(seen["sources"], 1) * DOCS_PER_CELL), 1), MOST_SHARDS)
-    keyed = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.lit(shards)).cast("int"))
+    # A source has as many shards as give each some `DOCS_PER_CELL` documents, so a hot source has many.
+    rows_of = rows.groupBy("source").agg(F.count("*").alias("n")).collect()
+    spread = spark.createDataFrame(
+        [(r["source"], shards or min(max(r["n"] // DOCS_PER_CELL, 1), MOST_SHARDS)) for r in rows_of], "s_source string, n_shards int"
+    )
+    dealt = rows.join(spread, F.col("source").eqNullSafe(F.col("s_source")))
+    keyed = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.col("n_shards")).cast("int")).drop("s_source", "n_shards")
     cells = store.keep(keyed.groupBy("source", "shard").agg(F.sum("size").alias("words")), "cells")
 
     totals = cells.groupBy("source").agg(F.sum("words").alias("words")).collect()
