@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, licenses, mixing, pii, quality, rules, secrets, sharding, simhash, token_counts
+from .oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,5 +72,3 @@ QUERIES: dict[str, Query] = {
         op10_pii,
     )
 }
-
-ORACLES: dict[str, str] = {}
