@@ -10,6 +10,12 @@ with one more bit set in the second.  (Of two fingerprints that differ in that
 bit, exactly one has it unset, so each pair meets from one side.)  The chain's
 further links prune what meets, before the full Hamming check.
 
+Two links are 26 bits.  Beyond `MOST_FOR_TWO_LINKS` fingerprints chance meetings
+under so short a key would outnumber the rows, and the key takes the third link
+too (39 bits): each side is filed under its own form and each form with one bit of
+the second or third segment turned, which meet for any two differences.  The same
+finer key is used inside a task for a two-link key that many fingerprints share.
+
 Copies never meet: the search runs over distinct fingerprints.  What shares a key
 is handled as one stream sorted by key, and yields a spanning forest of the
 verified links, never all pairs.
@@ -33,6 +39,9 @@ LINKED = 4
 OFFSETS, WIDTHS = (0, 13, 26, 39, 52), (13, 13, 13, 13, 12)
 _MASKS = np.array([((1 << w) - 1) << o for o, w in zip(OFFSETS, WIDTHS, strict=True)], dtype=np.uint64)
 
+#: Distinct fingerprints up to which the key has two links; members of a key from which it is refined.
+MOST_FOR_TWO_LINKS, REFINED_FROM = 1 << 27, 2048
+
 #: Shingles hashed at once, so that a very long text needs bounded memory.
 _CHUNK = 1 << 16
 
@@ -75,24 +84,41 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).alias("doc_id"), hashed(F.col(text_col)).alias("fp"))
 
 
-def chain_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each fingerprint under every key of the chain's first two links."""
-    for batch in batches:
-        fps = batch["fp"].to_numpy().view(np.uint64)
-        keys, owners = [], []
-        for start in range(SEGMENTS):
-            after = (start + 1) % SEGMENTS
-            first = (fps & _MASKS[start]) >> np.uint64(OFFSETS[start])
-            second = (fps & _MASKS[after]) >> np.uint64(OFFSETS[after])
-            head = (np.uint64(start) << np.uint64(26)) | (first << np.uint64(13))
-            keys.append(head | second)
-            owners.append(fps)
-            for bit in range(WIDTHS[after]):
-                flip = np.uint64(1 << bit)
-                unset = (second & flip) == 0
-                keys.append(head[unset] | second[unset] | flip)
-                owners.append(fps[unset])
-        yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "fp": np.concatenate(owners).view(np.int64)})
+def _segment(fps: np.ndarray, k: int) -> np.ndarray:
+    return (fps & _MASKS[k % SEGMENTS]) >> np.uint64(OFFSETS[k % SEGMENTS])
+
+
+def keys_from(fps: np.ndarray, start: int, links: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the first ``links`` (2 or 3) links of the chain from ``start``, and the fingerprint of each."""
+    after = (start + 1) % SEGMENTS
+    second = _segment(fps, after)
+    head = (np.uint64(start) << np.uint64(26)) | (_segment(fps, start) << np.uint64(13))
+    keys, owners = [head | second], [fps]
+    if links == 2:
+        for bit in range(WIDTHS[after]):
+            flip = np.uint64(1 << bit)
+            unset = (second & flip) == 0
+            keys.append(head[unset] | second[unset] | flip)
+            owners.append(fps[unset])
+    else:
+        own = (keys[0] << np.uint64(13)) | _segment(fps, start + 2)
+        turned = [np.uint64(1 << bit) for bit in range(WIDTHS[(start + 2) % SEGMENTS])] + [np.uint64(1 << (13 + bit)) for bit in range(WIDTHS[after])]
+        keys = [own, *[own ^ t for t in turned]]
+        owners = [fps] * len(keys)
+    return np.concatenate(keys).view(np.int64), np.concatenate(owners)
+
+
+def chain_keys(links: int):
+    """A function from batches of fingerprints to rows of each under all its keys."""
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fps = batch["fp"].to_numpy().view(np.uint64)
+            for start in range(SEGMENTS):
+                keys, owners = keys_from(fps, start, links)
+                yield pd.DataFrame({"key": keys, "fp": owners.view(np.int64)})
+
+    return keyed
 
 
 def linked(one: np.ndarray, other: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -124,53 +150,73 @@ def _forest(members: np.ndarray, start: int) -> list[tuple[int, int]]:
     return edges
 
 
-def links_by_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From rows sorted by key, the links found inside each key.
+def _links(keys: np.ndarray, values: np.ndarray, links: int) -> list[np.ndarray]:
+    """Pairs (as arrays of two columns) that connect the members of each key; ``keys`` are sorted.
 
-    Keys of two to sixteen members are compared at once; a larger key is searched
-    from member to member, so that it gives at most one edge a member.
+    Keys of two to sixteen members are compared at once, larger ones searched from
+    member to member, which gives at most one edge a member; a large two-link key
+    is first refined by the third link.
     """
-    held_keys, held_fps = np.array([], dtype=np.int64), np.array([], dtype=np.int64)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.array([], dtype=np.int64)
+    sizes = np.diff(np.r_[first, len(keys)])
+    starts = keys >> (26 if links == 2 else 39)
+    out = []
+    for size in range(2, 17):
+        at = first[sizes == size]
+        if len(at):
+            for i in range(size):
+                for j in range(i + 1, size):
+                    a, b = values[at + i], values[at + j]
+                    ok = linked(a, b, starts[at])
+                    if ok.any():
+                        out.append(np.column_stack([a[ok], b[ok]]))
+    for at, size in zip(first[sizes > 16], sizes[sizes > 16], strict=True):
+        members, start = np.unique(values[at : at + size]), int(starts[at])
+        if links == 2 and len(members) >= REFINED_FROM:
+            finer, owners = keys_from(members, start, 3)
+            order = np.argsort(finer, kind="stable")
+            out += _links(finer[order], owners[order], 3)
+        elif edges := _forest(members, start):
+            out.append(np.array(edges, dtype=np.uint64))
+    return out
+
+
+def links_by_key(links: int):
+    """A function from batches of rows sorted by key to the links found inside the keys."""
 
     def settle(keys: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.array([], dtype=np.int64)
-        sizes = np.diff(np.r_[first, len(keys)])
-        out = []
-        values = fps.view(np.uint64)
-        for size in range(2, 17):
-            at = first[sizes == size]
-            if len(at):
-                for i in range(size):
-                    for j in range(i + 1, size):
-                        a, b = values[at + i], values[at + j]
-                        ok = linked(a, b, keys[at] >> 26)
-                        if ok.any():
-                            out.append(np.column_stack([a[ok], b[ok]]))
-        for at, size in zip(first[sizes > 16], sizes[sizes > 16], strict=True):
-            members = np.unique(values[at : at + size])
-            if edges := _forest(members, int(keys[at] >> 26)):
-                out.append(np.array(edges, dtype=np.uint64))
+        out = _links(keys, fps.view(np.uint64), links)
         pairs = np.concatenate(out) if out else np.empty((0, 2), dtype=np.uint64)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]].view(np.int64)
         pairs = np.unique(np.sort(pairs, axis=1), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    for batch in batches:
-        if not len(batch):
-            continue
-        keys = np.concatenate([held_keys, batch["key"].to_numpy()])
-        fps = np.concatenate([held_fps, batch["fp"].to_numpy()])
-        last = np.searchsorted(keys, keys[-1])  # the last key may go on in the next batch
-        yield settle(keys[:last], fps[:last])
-        held_keys, held_fps = keys[last:], fps[last:]
-    yield settle(held_keys, held_fps)
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held_keys, held_fps = np.array([], dtype=np.int64), np.array([], dtype=np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = np.concatenate([held_keys, batch["key"].to_numpy()])
+            fps = np.concatenate([held_fps, batch["fp"].to_numpy()])
+            last = np.searchsorted(keys, keys[-1])  # the last key may go on in the next batch
+            yield settle(keys[:last], fps[:last])
+            held_keys, held_fps = keys[last:], fps[last:]
+        yield settle(held_keys, held_fps)
 
+    return search
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """Links ``a, b`` that connect what Hamming distance 4 connects among distinct ``fp``."""
+
+def fingerprint_links(distinct: DataFrame, links: int | None = None) -> DataFrame:
+    """Links ``a, b`` that connect what Hamming distance 4 connects among distinct ``fp``.
+
+    ``links`` (2 or 3) is the length of the key; by default it follows from the
+    number of fingerprints.  Either finds every pair.
+    """
     shipping.ship(distinct.sparkSession)
-    keyed = distinct.select("fp").mapInPandas(chain_keys, "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(links_by_key, "a long, b long")
+    if links is None:
+        links = 2 if distinct.count() <= MOST_FOR_TWO_LINKS else 3
+    keyed = distinct.select("fp").mapInPandas(chain_keys(links), "key long, fp long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(links_by_key(links), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
