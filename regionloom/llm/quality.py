@@ -191,12 +191,17 @@ def fit(
 
         return TaskContext.get().partitionId() % groups
 
-    def added(parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(b) for b in parts["sums"]], axis=0)
-        return pd.DataFrame({"sums": [total.tobytes()]})
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for parts in batches:
+            for b in parts["sums"]:
+                total = np.frombuffer(b) if total is None else total + np.frombuffer(b)
+        if total is not None:
+            yield pd.DataFrame({"sums": [total.tobytes()]})
 
     by_partition = labelled.select("stats", "label").mapInPandas(summed, "sums binary, part int")
-    sums = by_partition.groupBy("part").applyInPandas(added, "sums binary").collect()  # at most `groups` rows of fixed size
+    # Partitions' sums are added as they stream by, then at most `groups` rows of fixed size reach the driver.
+    sums = by_partition.repartition(groups, "part").mapInPandas(added, "sums binary").collect()
     normal = np.sum([np.frombuffer(r["sums"]) for r in sums], axis=0).reshape(width, width)
     gram, target = normal[:-1, :-1], normal[:-1, -1]
     penalty = np.diag(np.append(np.full(features, ridge * n), 0.0))
