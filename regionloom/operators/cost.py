@@ -132,7 +132,7 @@ def _share_of_average(value: str | None) -> Cost:
 
     def cost(p: Placement) -> DataFrame:
         totals = _per_server(p, F.col(value) if value else F.lit(1))
-        mean = F.avg("total").over(Window.partitionBy(F.lit(1)))
+        mean = totals.agg(F.avg("total")).scalar()
         return totals.select("server_id", F.coalesce(F.try_divide(F.col("total"), mean), F.lit(0.0)).alias("cost"))
 
     return cost
@@ -204,7 +204,7 @@ def elevated_server_cost(p: Placement, weights: Mapping[str, float] = DEFAULT_WE
     if p.sources and p.targets:
         raise ValueError("name either source or target servers, not both")
     costs = combined_server_cost(p, weights)
-    most = F.max("cost").over(Window.partitionBy(F.lit(1)))
+    most = costs.agg(F.max("cost")).scalar()
     if p.sources:
         elevated = F.col("server_id").isin(*p.sources)
     else:

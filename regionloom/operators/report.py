@@ -33,7 +33,7 @@ def region_report(regions: DataFrame, key: str) -> DataFrame:
     """
     r = regions.select(F.col(key).alias("key"), F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("load", F.lit(0.0)).alias("load"), "transfer")
     groups = r.groupBy("key").agg(F.count("*").alias("n_regions"), F.sum("load").alias("load"), F.sum("size").alias("total_size"), F.sum("transfer").alias("transfer"))
-    everything = F.sum("load").over(Window.partitionBy(F.lit(1)))
+    everything = r.agg(F.sum("load")).scalar()
     shared = groups.withColumn("load_share", F.when(everything > 0, F.col("load") / everything).otherwise(F.lit(0.0)))
     return (
         shared.join(index_percentiles(r, "key", "size"), "key")
