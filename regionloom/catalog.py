@@ -170,6 +170,19 @@ def report_sizes_rendered(spark, sf_dir):
     return sums.select(F.col("table_name").alias("key"), R.pretty_bytes(F.col("s")).alias("shown"))
 
 
+@query(
+    cluster_sql(
+        """
+    SELECT table_name AS key, length(table_name) < 40 AS named, count(*) AS n_regions FROM regions GROUP BY 1"""
+    )
+)
+def report_rendered(spark, sf_dir):
+    """The report's lines of fixed width, read back: the key, whether the line is as wide as its format says, and the count."""
+    lines = report.rendered(report.region_report(annotated(Cluster(spark, sf_dir)), "table_name"))
+    line = F.col("line")
+    return lines.select("key", (F.length(line) == 40 + 9 + 8 + 3 * 11 + 8).alias("named"), F.trim(F.substring(line, 41, 9)).cast("bigint").alias("n_regions"))
+
+
 @query(cluster_sql("SELECT region_id, round(load, 9) AS load FROM annotated", _ANNOTATED_SQL))
 def region_load_weight(spark, sf_dir):
     c = Cluster(spark, sf_dir)
@@ -323,6 +336,23 @@ def server_cost_table_balance(spark, sf_dir):
     return cost.server_table_cost(placement(Cluster(spark, sf_dir))).select("server_id", rounded("cost").alias("cost"))
 
 
+def _server_cost_query(name: str, function: str, expression: str, **options) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return cost.SERVER_COSTS[function](placement(Cluster(spark, sf_dir), **options)).select("server_id", rounded("cost").alias("cost"))
+
+    run.__name__ = name
+    query(cluster_sql(f"SELECT p.server_id, round(CAST({expression} AS DOUBLE), 9) AS cost FROM per_server p LEFT JOIN server_gaps g USING (server_id)", _COST_SQL))(run)
+
+
+_server_cost_query("server_cost_data_size", "DataSizeCost", "p.size / (SELECT avg(size) FROM per_server)")
+_server_cost_query("server_cost_load", "LoadCost", "p.load / (SELECT avg(load) FROM per_server)")
+_server_cost_query("server_cost_region_count", "RegionCountCost", "p.n / (SELECT avg(n) FROM per_server)")
+_server_cost_query("server_cost_locality", "LocalityCost", "p.size / (SELECT avg(size) FROM per_server)")
+_server_cost_query("server_cost_key_proximity", "ProximateRegionKeyCost", "CASE WHEN p.n = 0 THEN 0 ELSE pow(coalesce(g.gaps, 0) / p.n, 0.3) END")
+_server_cost_query("server_cost_transition", "TransitionCost", "0")
+_server_cost_query("server_cost_migration", "MigrationCost", "CASE WHEN server_id IN (0, 1, 2) THEN 0 ELSE p.n END", targets=(0, 1, 2))
+
+
 @query(cluster_sql("SELECT server_id, round(CASE WHEN server_id NOT IN (0, 1, 2) THEN c + (SELECT max(c) FROM server_cost) + 1 ELSE c END, 6) AS cost FROM server_cost", _COST_SQL))
 def migration_elevated_cost(spark, sf_dir):
     return cost.elevated_server_cost(placement(Cluster(spark, sf_dir), targets=(0, 1, 2))).select("server_id", F.round("cost", 6).alias("cost"))
@@ -369,6 +399,15 @@ def moves_in_transition(spark, sf_dir):
     return moves.moves_in_transition(moves.transitions(c.assignments), c.regions.where("region_id % 20 = 0"))
 
 
+@query(cluster_sql("SELECT server_id, count(*) > 0 AS one_of_its_own FROM regions GROUP BY 1"))
+def random_region_per_server(spark, sf_dir):
+    """A seeded pick of one region per server; the check is that it lies on that server."""
+    r = Cluster(spark, sf_dir).regions
+    picked = moves.pick_one(r, ["server_id"], "region_id", seed=3)
+    back = picked.join(r.select("region_id", F.col("server_id").alias("on")), "region_id")
+    return back.select("server_id", (F.col("on") == F.col("server_id")).alias("one_of_its_own"))
+
+
 @query(
     cluster_sql("""
     SELECT l.region_id, l.from_server, o.to_server FROM (
@@ -560,6 +599,23 @@ def merged_catalog(spark, sf_dir):
     return after.select("table_name", F.col("start_pos").cast("string").alias("start_pos"), F.col("end_pos").cast("string").alias("end_pos"), "n_merged")
 
 
+@query(
+    cluster_sql(
+        """
+    SELECT table_name, g AS group_no, count(*) AS n_regions, CAST(sum(region_id * 3) AS BIGINT) AS reads, CAST(sum(size) AS BIGINT) AS writes
+    FROM (SELECT r.*, (row_number() OVER (PARTITION BY r.table_name ORDER BY start_pos) - 1) // 2 AS g, count(*) OVER (PARTITION BY r.table_name) AS n,
+                 row_number() OVER (PARTITION BY r.table_name ORDER BY start_pos) AS k FROM regions r JOIN ranges USING (region_id))
+    WHERE NOT (n % 2 = 1 AND k = n) GROUP BY ALL"""
+    )
+)
+def merged_counters(spark, sf_dir):
+    """Request counters of merged regions, with stand-ins for reads and writes."""
+    c = Cluster(spark, sf_dir)
+    groups = merge.merge_groups(_sized_ranges(c), factor=2, max_file_size=1 << 60)
+    counters = c.regions.select("table_name", "region_id", (F.col("region_id") * 3).alias("reads"), F.col("size").alias("writes"))
+    return merge.merged_counters(groups, counters, ["reads", "writes"]).withColumn("group_no", F.col("group_no").cast("bigint"))
+
+
 # -- scans ------------------------------------------------------------------------------------------------------------
 
 

@@ -104,3 +104,11 @@ def merged_catalog(ranges: DataFrame, groups: DataFrame) -> DataFrame:
     )
     whole = F.when(F.col("covered") == F.col("end_pos") - F.col("start_pos"), F.col("n_merged")).otherwise(F.raise_error(F.lit("ranges to merge must be contiguous")).cast("bigint"))
     return untouched.unionByName(inside.select("table_name", "start_pos", "end_pos", whole.alias("n_merged")))
+
+
+def merged_counters(groups: DataFrame, counters: DataFrame, columns: list[str]) -> DataFrame:
+    """``table_name, group_no, n_regions`` and the sums of the counters of each group's regions."""
+    member = groups.select("table_name", "group_no", F.explode("region_ids").alias("region_id"))
+    return member.join(counters, ["table_name", "region_id"]).groupBy("table_name", "group_no").agg(
+        F.count("*").alias("n_regions"), *[F.sum(c).cast("bigint").alias(c) for c in columns]
+    )

@@ -125,3 +125,8 @@ def heaviest_to_lightest(costs: DataFrame) -> DataFrame:
     key = F.struct("cost", (-F.col("server_id")).alias("s"))
     low = F.struct("cost", F.col("server_id").alias("s"))
     return costs.agg((-F.max(key)["s"]).alias("from_server"), F.min(low)["s"].alias("to_server"))
+
+
+def pick_one(rows: DataFrame, keys: list[str], value: str, seed: int = 0) -> DataFrame:
+    """``keys, value``: one value per key, each as likely; the same rows and seed give the same pick."""
+    return rows.groupBy(*keys).agg(F.max_by(value, F.struct(F.xxhash64(F.col(value), F.lit(seed)), F.col(value))).alias(value))

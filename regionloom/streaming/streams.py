@@ -85,6 +85,33 @@ def upsert_hll_stream(items: DataFrame, item: str, *, keys: list[str], ts: str =
     return sketches.build_hll(items, item, keys=keys, ts=ts, lg_k=lg_k).select(*keys, F.hll_sketch_estimate("sketch").alias("estimate"), "sketch", "ts")
 
 
+def keep_hll_state(items: DataFrame, item: str, path: str, trigger: dict, *, keys: list[str], ts: str = "ts", lg_k: int = sketches.DEFAULT_LG_K) -> StreamingQuery:
+    """Keep a table of sketches per cell below ``path``, one version per batch, from a stream of items.
+
+    A batch that is run again writes the same version from the same version before
+    it, so a restart neither loses nor doubles anything.  `hll_state` reads it.
+    """
+    spark = items.sparkSession
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        delta = sketches.build_hll(batch, item, keys=keys, ts=ts, lg_k=lg_k)
+        if batch_id:
+            delta = sketches.merge_hll(spark.read.parquet(f"{path}/version={batch_id - 1}"), delta, keys=keys)
+        delta.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+    return items.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/_checkpoint").trigger(**trigger).start()
+
+
+def hll_state(spark, path: str, version: int) -> DataFrame:
+    """A version of the table that `keep_hll_state` writes."""
+    return spark.read.parquet(f"{path}/version={version}")
+
+
+def write_gauges(points: DataFrame, path: str, trigger: dict) -> StreamingQuery:
+    """Append a stream of gauge points to a table."""
+    return points.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}/_checkpoint").outputMode("append").trigger(**trigger).start()
+
+
 def repeat_plan(ticks: DataFrame, plan: Callable[[int], None], checkpoint: str, every: str = "10 seconds") -> StreamingQuery:
     """Run a planner again and again: once per trigger of any stream of ticks."""
     return ticks.writeStream.foreachBatch(lambda _, batch_id: plan(batch_id)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -294,6 +294,29 @@ def test_sketch_stream_is_the_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("hlls").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_kept_sketches_are_the_batch(spark, tmp_path):
+    items = Cluster(spark, SF).table("events").select(F.col("event_type").alias("row"), "user_id", F.col("event_id").alias("ts"))
+    split_files(items.withColumn("__n", F.col("ts")), tmp_path / "in")
+    stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.keep_hll_state(stream, "user_id", str(tmp_path / "state"), {"availableNow": True}, keys=["row"]).awaitTermination()
+
+    def told(df):
+        return sorted(map(tuple, df.select("row", F.hll_sketch_estimate("sketch"), "ts").collect()))
+
+    assert told(streams.hll_state(spark, str(tmp_path / "state"), 2)) == told(sketches.build_hll(items, "user_id", keys=["row"]))
+
+
+def test_gauges_are_appended(spark, tmp_path):
+    schema = "server string, region_name string, snapshot_ts timestamp, " + ", ".join(f"{m} bigint" for m in streams.REGION_LOAD_METRICS)
+    load = spark.createDataFrame([("s", "t,k,1.abc.", datetime(2024, 1, 1), *range(12)), ("s", ".META.,,1", datetime(2024, 1, 1), *range(12))], schema)
+    load.write.parquet(str(tmp_path / "in"))
+    points = streams.region_gauges(spark.readStream.schema(load.schema).parquet(str(tmp_path / "in")))
+    streams.write_gauges(points, str(tmp_path / "out"), {"availableNow": True}).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(rows) == 24 and {r["label"] for r in rows} == {"t.abc", None}
+    assert {tuple(sorted(r["tags"])) for r in rows} == {("region", "server", "table"), ("server", "table")}
+
+
 def test_watcher_sees_regions_leave(spark, tmp_path):
     polls = [(1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "c"), (4, "d")]
     for k, part in enumerate([polls[:3], polls[3:5], polls[5:]]):
