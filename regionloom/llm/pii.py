@@ -100,10 +100,12 @@ _DIGIT_WORDS = {
     "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
 }
 _WORD = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
-_UNIT = rf"(?:(?<!\w)(?:{_WORD})(?!\w)|[0-9]+)"
-_GLUE = r"(?:[ \t]?[.,-]?[ \t]?|[ \t]*(?<!\w)(?:dot|point|punkt|punto|dash)(?!\w)[ \t]*)"
-#: A spelled digit somewhere in a row of at least four digits, spelled or not.
-_SPELLED = re.compile(rf"(?:(?:(?<!\w)plus[ \t]+)|\+[ \t]?)?{_UNIT}(?:{_GLUE}{_UNIT}){{3,}}", re.IGNORECASE)
+#: Space inside a disguise is a few characters at most, which also keeps every search linear.
+_GAP, _MAYBE_GAP = r"[ \t]{1,4}", r"[ \t]{0,4}"
+_UNIT = rf"(?:(?<!\w)(?:{_WORD})(?!\w)|[0-9]++)"
+_GLUE = rf"(?:[ \t]?[.,-]?[ \t]?|{_MAYBE_GAP}(?<!\w)(?:dot|point|punkt|punto|dash)(?!\w){_MAYBE_GAP})"
+#: A row of digits, spelled or not.
+_SPELLED = re.compile(rf"(?:(?:(?<!\w)plus{_GAP})|\+[ \t]?)?{_UNIT}(?:{_GLUE}{_UNIT})+", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"(?<!\w)(plus|dot|point|punkt|punto|dash|{_WORD})(?!\w)", re.IGNORECASE)
 _HAS_SPELLED = re.compile(rf"(?<!\w)(?:{_WORD})(?!\w)", re.IGNORECASE)
 
@@ -111,20 +113,21 @@ _OPEN, _CLOSE = r"[(\[{<]", r"[)\]}>]"
 _AT = r"(?:at|arroba|chez|ät|@)"
 _DOT = r"(?:dot|punkt|punto|point|\.)"
 #: "(at)" in any brackets, " @ " with space around; "(dot)" likewise.
-_BRACKETED_AT = re.compile(rf"\s*{_OPEN}\s*{_AT}\s*{_CLOSE}\s*", re.IGNORECASE)
-_BRACKETED_DOT = re.compile(rf"\s*{_OPEN}\s*{_DOT}\s*{_CLOSE}\s*", re.IGNORECASE)
-_MARKED = re.compile(rf"{_OPEN}\s*(?:{_AT}|{_DOT})\s*{_CLOSE}|[\s_-](?:dot|punkt|punto|point)[\s_-]|\sat\s|\s@|@\s|arroba|_at_|-at-", re.IGNORECASE)
+_INSIDE = r"\s{0,4}"
+_BRACKETED_AT = re.compile(rf"{_INSIDE}{_OPEN}{_INSIDE}{_AT}{_INSIDE}{_CLOSE}{_INSIDE}", re.IGNORECASE)
+_BRACKETED_DOT = re.compile(rf"{_INSIDE}{_OPEN}{_INSIDE}{_DOT}{_INSIDE}{_CLOSE}{_INSIDE}", re.IGNORECASE)
+_MARKED = re.compile(rf"{_OPEN}{_INSIDE}(?:{_AT}|{_DOT}){_INSIDE}{_CLOSE}|[\s_-](?:dot|punkt|punto|point)[\s_-]|\sat\s|\s@|@\s|arroba|_at_|-at-", re.IGNORECASE)
 _NAME = r"[A-Za-z0-9][A-Za-z0-9._%+-]*"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-_WORD_DOT = r"(?:[ \t]+(?:dot|punkt|punto|point)[ \t]+|\.)"
+_WORD_DOT = rf"(?:{_GAP}(?:dot|punkt|punto|point){_GAP}|\.)"
 _TOP = r"(?:com|org|net|edu|gov|info|biz|io|co|dev|app|eu|de|fr|es|uk|us|ca|ch|at|it|nl|mx|ar|br|ru|jp|cn|in|au|invalid|test|example)"
 #: "name at host dot com", with "dot" spelled or a common ending after a real dot.
 _SPOKEN = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])({_NAME}(?:[ \t]+(?:dot|punkt|punto|point)[ \t]+{_NAME}){{0,3}})(?:[ \t]+(?:at|arroba)[ \t]+|[ \t]*@[ \t]*|_at_|-at-)"
+    rf"(?<![A-Za-z0-9._%+-])({_NAME}(?:{_GAP}(?:dot|punkt|punto|point){_GAP}{_NAME}){{0,3}})(?:{_GAP}(?:at|arroba){_GAP}|{_MAYBE_GAP}@{_MAYBE_GAP}|_at_|-at-)"
     rf"({_LABEL}(?:{_WORD_DOT}{_LABEL}){{0,4}}{_WORD_DOT}{_TOP})(?![A-Za-z0-9-])",
     re.IGNORECASE,
 )
-_SPOKEN_PART = re.compile(r"[ \t]+(dot|punkt|punto|point|at|arroba)[ \t]+|[ \t]*(@)[ \t]*|(_at_|-at-)", re.IGNORECASE)
+_SPOKEN_PART = re.compile(rf"{_GAP}(dot|punkt|punto|point|at|arroba){_GAP}|{_MAYBE_GAP}(@){_MAYBE_GAP}|(_at_|-at-)", re.IGNORECASE)
 
 
 @lru_cache(maxsize=4096)

@@ -165,6 +165,15 @@ def test_disguises(text, kind, piece):
         assert (kind, piece) in found
 
 
+def test_searches_stay_linear():
+    import time
+
+    began = time.time()
+    for text in (" " * 300_000 + "(at)", "x" * 300_000 + " at y", "1" * 300_000 + " one", "one " * 50_000, "a@" * 100_000, "(" * 100_000 + " at ", "+1" + "(" * 200_000, "a. " * 100_000 + " at b dot com"):
+        pii.find_personal_data(text)
+    assert time.time() - began < 20
+
+
 def test_prose_is_left_alone():
     for text in ("He looked at it. The dot on the map was at one end of the five roads.", "one two three, four. At the end.", "Ses yeux à la maison, où il est né. Ñandú é así."):
         assert pii.find_personal_data(text)[1] == []
