@@ -129,24 +129,28 @@ def find_items(index: Index, texts: list[str]) -> list[dict[int, int]]:
                 out[k][i] = 0
     if not len(index.grams):
         return out
-    at, buffered = 0, []
-    for k, t in enumerate(texts):
-        buffered.append(k)
-        at += len(t) + index.gap
-        if at >= BUFFER_CHARS or k == len(texts) - 1:
-            _search(index, texts, buffered, out)
-            at, buffered = 0, []
+    # A long text goes in pieces that overlap by more than any occurrence.
+    overlap = index.longest + 4 * int(index.width.max(initial=1)) + Q
+    pieces = [(k, t[at : at + BUFFER_CHARS + overlap]) for k, t in enumerate(texts) for at in range(0, max(len(t), 1), BUFFER_CHARS)]
+    held, buffered = 0, []
+    for n, (k, piece) in enumerate(pieces, 1):
+        buffered.append((k, piece))
+        held += len(piece) + index.gap
+        if held >= BUFFER_CHARS or n == len(pieces):
+            _search(index, buffered, out)
+            held, buffered = 0, []
     return out
 
 
-def _search(index: Index, texts: list[str], members: list[int], out: list[dict[int, int]]) -> None:
+def _search(index: Index, members: list[tuple[int, str]], out: list[dict[int, int]]) -> None:
+    """Search texts ``(place in out, text)`` that lie in one buffer, far enough apart."""
     starts, total = [], index.gap
-    for k in members:
+    for _, piece in members:
         starts.append(total)
-        total += len(texts[k]) + index.gap
+        total += len(piece) + index.gap
     buffer = np.zeros(total, dtype=np.uint64)
-    for k, s in zip(members, starts, strict=True):
-        buffer[s : s + len(texts[k])] = codes(texts[k])
+    for (_, piece), s in zip(members, starts, strict=True):
+        buffer[s : s + len(piece)] = codes(piece)
     hashes = gram_hashes(buffer)
     at = np.flatnonzero(index.maybe[hashes >> index.shift])
     found = np.searchsorted(index.grams, hashes[at])
@@ -170,10 +174,10 @@ def _search(index: Index, texts: list[str], members: list[int], out: list[dict[i
         low = b * width - budget
         high = (b + 2) * width + n + budget
         j = max(int(np.searchsorted(firsts, high, side="left")) - 1, 0)
-        k, s = members[j], starts[j]
+        (k, piece), s = members[j], starts[j]
         if out[k].get(i) == 0:
             continue
-        region = texts[k][max(low - s, 0) : max(high - s, 0)]
+        region = piece[max(low - s, 0) : max(high - s, 0)]
         edits = 0 if index.texts[i] in region else banded_edits(codes(index.texts[i]), codes(region), budget)
         if edits <= budget:
             out[k][i] = min(edits, out[k].get(i, edits))

@@ -130,7 +130,7 @@ def test_banded_edits():
         assert decontaminate.banded_edits(decontaminate.codes(item), decontaminate.codes(text), budget) == want
 
 
-def test_contaminated_against_brute_force(spark):
+def test_contaminated_against_brute_force(spark, monkeypatch):
     rng = random.Random(6)
     letters = "abcdefghijklmnop"
 
@@ -166,6 +166,10 @@ def test_contaminated_against_brute_force(spark):
     for options in ({}, {"block_chars": 150}):
         got = Counter((r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.contaminated(docs, bench, **options).collect())
         assert got == want and len(want) > 30
+    index = decontaminate.Index([k for k, x in items if decontaminate.plain(x)], [decontaminate.plain(x) for k, x in items if decontaminate.plain(x)])
+    monkeypatch.setattr(decontaminate, "BUFFER_CHARS", 97)  # pieces shorter than an item
+    found = decontaminate.find_items(index, [decontaminate.plain(t) for _, t in rows])
+    assert Counter((d, index.ids[i], e) for (d, _), f in zip(rows, found) for i, e in f.items()) == want
     clean = [r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()]
     assert Counter(clean) == Counter(d for d, _ in rows if d not in {k[0] for k in want})
 
