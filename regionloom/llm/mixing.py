@@ -155,7 +155,9 @@ def mix(
             (F.col("blocks") * block).alias("words_taken"),
         )
     )
-    quota = store.keep(quota, "quotas").withColumn("from_word", F.when(F.col("words") > 0, F.pmod(F.xxhash64("q_source", "q_shard", F.lit(seed)), F.col("words"))).otherwise(F.lit(0)))
+    # The first block taken is a seeded one of the shard's whole blocks.
+    blocks = F.greatest(F.floor(F.col("words") / block), F.lit(1))
+    quota = store.keep(quota, "quotas").withColumn("from_word", F.pmod(F.xxhash64("q_source", "q_shard", F.lit(seed)), blocks) * block)
 
     seeded = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "text_hash", "size")
     ring = keyed.withColumn("ends", F.sum("size").over(seeded.rowsBetween(Window.unboundedPreceding, 0)))
