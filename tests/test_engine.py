@@ -235,6 +235,8 @@ def test_incremental_costs_are_the_whole_costs():
     a, b = s.costs(), whole.costs()
     assert {k: a[k] for k in a if k != "TransitionCost"} == pytest.approx({k: b[k] for k in b if k != "TransitionCost"})
     assert a["TransitionCost"] == pytest.approx(0.001 * math.sqrt((moved != p.initial).mean()))
+    for table in (None, 0, 3):
+        assert s.server_costs(table) == pytest.approx(whole.server_costs(table))
 
 
 def test_acceptance_and_temperature():
