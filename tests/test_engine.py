@@ -207,7 +207,7 @@ def problem(n=60, servers=5, weights=None, **options):
     start = np.arange(n, dtype=float) * 100
     return balance.Problem(
         rng.integers(1, 50, n).astype(float), rng.random(n), rng.integers(0, 4, n), start, start + 100, np.where(rng.random(n) < 0.8, 0, 1), servers,
-        weights or {k: 1.0 for k in cost.COSTS}, {(r, s): 0 for r in range(n) for s in range(servers) if (r + s) % 3 == 0}, **options,
+        weights or {k: 1.0 for k in cost.COSTS}, np.array([(r, s, 0) for r in range(n) for s in range(servers) if (r + s) % 3 == 0]), **options,
     )
 
 
