@@ -188,6 +188,7 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.col("doc_id").alias("__t_id"), F.col("place_key").alias("__t_key"), F.when(F.col("size") > 0, F.round(F.col("each") / F.col("size"))).otherwise(F.lit(0)).cast("int").alias("__t_times")
     ).where("__t_times > 0")
     times = store.keep(times, "times")
-    hit = docs.join(times, docs[id_col].eqNullSafe(F.col("__t_id")) & (F.xxhash64(T.whole(docs[text_col])) == F.col("__t_key")))
-    repeated = hit.withColumn("__t_k", F.explode(F.sequence(F.lit(1), F.col("__t_times"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    hit = docs.join(times, docs[id_col].eqNullSafe(times["__t_id"]) & (F.xxhash64(T.whole(docs[text_col])) == times["__t_key"]))
+    # `docs` may have columns of any name, so its own are kept by their place.
+    kept = hit.select(*[docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(docs.columns)], F.explode(F.sequence(F.lit(1), times["__t_times"])).alias("copy"))
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

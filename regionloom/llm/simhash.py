@@ -249,4 +249,4 @@ def keep_one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle)
     gone = store.keep(found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__gone_id")).distinct(), "duplicates")
-    return docs.join(gone, docs[id_col] == F.col("__gone_id"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti")

@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from regionloom.llm import mixing, sharding, store
 
 
@@ -152,3 +154,12 @@ def test_packing_is_longest_first(spark):
         want[s] = shard
         heapq.heappush(heap, (load + b, shard))
     assert got == want
+
+
+def test_whole_documents_keep_columns_of_any_name(odd):
+    named = odd.withColumns({n: F.lit(k) for k, n in enumerate(("__t_id", "__t_key", "__t_times", "copy", "c0", "a.b"))})
+    mixed = mixing.mixed_documents(named)
+    assert mixed.schema.names == named.schema.names
+    rows = mixed.collect()
+    assert rows and all(r[-6:] == (0, 1, 2, 3, 4, 5) for r in map(tuple, rows))
+    assert sorted(map(str, (tuple(r)[:-6] for r in rows))) == sorted(map(str, map(tuple, mixing.mixed_documents(odd).collect())))
