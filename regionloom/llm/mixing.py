@@ -6,7 +6,8 @@ numbers of blocks by highest quotients (weight over 1, 3, 5, ...), a source's
 blocks are handed to its shards in the same way by the words they hold, and within
 a shard a seeded choice of blocks is taken: documents are put in a seeded order,
 their words form a ring, and the blocks are taken from a seeded place on, going
-round again if the quota asks for more than the shard holds.
+round again if the quota asks for more than the shard holds.  Blocks are small
+against every shard, and a shard that gives all it may ends in a partial block.
 
 The two apportionments work on counts per source and per shard; documents are only
 hashed, numbered inside their (source, shard) and given their part.  A source that
@@ -90,6 +91,23 @@ def sainte_lague(weights: Iterable[float], seats: int, most: Iterable[int] | Non
     return [int(x) for x in given]
 
 
+def block_words(sizes: Sequence[int], targets: Sequence[float], smallest_shard: int) -> int:
+    """Words of a block: few against the whole, the smallest target and the smallest shard that has words."""
+    return max(1, int(min([sum(sizes) / (1 << 20), smallest_shard / 16, *(t / 256 for t in targets if t > 0)])))
+
+
+def hand_out(held: Sequence[int], words: int, block: int, most: int = MOST_REPEATS) -> list[int]:
+    """Words that each shard of a source gives: ``words`` in all, of none more than ``most`` times what it holds.
+
+    Whole blocks go by what shards hold; a shard's last may be partial.  What then
+    is left of ``words`` goes where there is room, in order.
+    """
+    limits = np.array([most * h for h in held], dtype=np.int64)
+    given = np.minimum(np.array(sainte_lague(held, words // block, -(-limits // block)), dtype=np.int64) * block, limits)
+    room = limits - given
+    return [int(x) for x in given + np.clip(words - given.sum() - (room.cumsum() - room), 0, room)]
+
+
 def mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS,
     most: int = MOST_REPEATS, shards: int | None = None, seed: int = 11,
@@ -131,9 +149,10 @@ def mix(
     totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [r["words"] for r in totals]
     targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most)
-    # Blocks are small against the smallest target and against the whole.
-    block = max(1, int(min([sum(sizes) / (1 << 20), *(t / 256 for t in targets if t > 0)])))
-    quotas = sainte_lague(targets, round(sum(targets) / block), [most * s // block for s in sizes])
+    smallest = cells.where("words > 0").agg(F.min("words")).first()[0] or 1
+    block = block_words(sizes, targets, smallest)
+    seats = sainte_lague(targets, round(sum(targets) / block), [-(-most * s // block) for s in sizes])
+    quotas = [min(n * block, most * s) for n, s in zip(seats, sizes, strict=True)]
     recipe = spark.createDataFrame(
         [(r["source"], s, t, q) for r, s, t, q in zip(totals, sizes, targets, quotas, strict=True)], "source string, source_size long, target double, quota long"
     )
@@ -141,18 +160,18 @@ def mix(
     def by_shard(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("shard")
         held = part["words"].tolist()
-        return part[["source", "shard", "words"]].assign(blocks=sainte_lague(held, int(part["quota"].iloc[0]), [most * h // block for h in held]))
+        return part[["source", "shard", "words"]].assign(given=hand_out(held, int(part["quota"].iloc[0]), block, most))
 
     # The recipe has a row per source, of which the driver holds the list already.
     counted = cells.join(recipe.select(F.col("source").alias("r_source"), "quota"), F.col("source").eqNullSafe(F.col("r_source")))
     quota = (
         counted.groupBy("source")
-        .applyInPandas(by_shard, "source string, shard int, words long, blocks long")
+        .applyInPandas(by_shard, "source string, shard int, words long, given long")
         .select(
             F.col("source").alias("q_source"),
             F.col("shard").alias("q_shard"),
             "words",
-            (F.col("blocks") * block).alias("words_taken"),
+            F.col("given").alias("words_taken"),
         )
     )
     # The first block taken is a seeded one of the shard's whole blocks.

@@ -77,6 +77,29 @@ def test_mix_of_real_documents(spark, real):
     assert cut <= 2 * 20 * 2
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_shards_give_what_their_source_should(seed):
+    rng = random.Random(seed)
+    held = [rng.choice([0, 1, 7, 100, rng.randrange(5000)]) for _ in range(rng.randrange(1, 300))]
+    words = int(3 * sum(held) * rng.choice([0, 0.1, 0.7, 0.99, 1]))
+    given = mixing.hand_out(held, words, rng.choice([1, 40, 4482]))
+    assert sum(given) == words and all(0 <= g <= 3 * h for g, h in zip(given, held, strict=True))
+
+
+def test_blocks_are_small_against_shards():
+    assert mixing.block_words([10**9, 10**7], [10**9, 3 * 10**7], 1000) == 62
+    assert mixing.block_words([10**9, 10**7], [10**9, 3 * 10**7], 2) == 1
+
+
+def test_shards_smaller_than_a_share_of_the_whole(spark):
+    # 2^20 blocks of the whole would have 19 words, a shard of the short documents some 5.
+    long = spark.range(1000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 20_000).alias("text"), F.lit("a").alias("source"))
+    short = spark.range(5000).select((F.col("id") + 1000).alias("doc_id"), F.lit("two words").alias("text"), F.lit("b").alias("source"))
+    got = {r["source"]: r for r in mixing.mix(long.union(short), shards=2000).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()}
+    assert got["b"]["target"] == 30_000
+    assert all(r["taken"] == pytest.approx(r["target"], rel=0.001) and r["most"] <= 3 for r in got.values())
+
+
 def test_mix_of_odd_rows(spark, odd, none):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in odd.collect()]
     check_mix(rows, mixing.mix(odd).collect())
