@@ -196,15 +196,17 @@ def mix(
     )
 
 
-def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix as whole documents, with the columns of ``docs``: each row as many times as the mix takes it, rounded.
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, **options) -> DataFrame:
+    """The mix as whole documents, with the columns of ``docs``: each row as many times as the mix takes it, rounded by chance.
 
-    A row of which less than half is taken goes.  Rows without an id are matched by
-    their text.
+    A row of which a fraction is taken stays with that probability (seeded), however
+    long it is, so sources meet their targets on average.  Rows without an id are
+    matched by their text; rows that share id and text are rounded alike.
     """
-    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
+    chance = F.pmod(F.xxhash64("doc_id", "place_key", F.lit(seed + 2)), F.lit(1 << 30)) / (1 << 30)
     times = taken.groupBy("doc_id", "place_key").agg((F.sum("taken") / F.count("*")).alias("each"), F.max("size").alias("size")).select(
-        F.col("doc_id").alias("__t_id"), F.col("place_key").alias("__t_key"), F.when(F.col("size") > 0, F.round(F.col("each") / F.col("size"))).otherwise(F.lit(0)).cast("int").alias("__t_times")
+        F.col("doc_id").alias("__t_id"), F.col("place_key").alias("__t_key"), F.when(F.col("size") > 0, F.floor(F.col("each") / F.col("size") + chance)).otherwise(F.lit(0)).cast("int").alias("__t_times")
     ).where("__t_times > 0")
     times = store.keep(times, "times")
     hit = docs.join(times, docs[id_col].eqNullSafe(times["__t_id"]) & (F.xxhash64(T.whole(docs[text_col])) == times["__t_key"]))

@@ -179,6 +179,18 @@ def test_packing_is_longest_first(spark):
     assert got == want
 
 
+def test_long_documents_of_a_small_share_keep_their_due(spark):
+    # A shard of 64 documents gives some 600 words, less than half a long document.
+    hot = spark.range(26_624).select("id", F.when(F.col("id") < 1024, 2000).otherwise(20).alias("n"), F.lit("a").alias("source"))
+    rest = spark.range(1024).select((F.col("id") + 100_000).alias("id"), F.lit(2500).alias("n"), F.lit("b").alias("source"))
+    docs = hot.union(rest).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.expr("repeat(' w', n - 1)")).alias("text"), "source")
+    mixed = mixing.mixed_documents(docs, weights=(1, 20)).select("source", F.size(F.split("text", " ")).alias("n")).where("source = 'a'")
+    long, words = mixed.agg(F.count_if(F.col("n") == 2000), F.sum("n")).first()
+    target = (26_624 - 1024) * 20 + 1024 * 2000 + 1024 * 2500
+    assert words == pytest.approx(target / 21, rel=0.2)
+    assert long == pytest.approx(1024 * target / 21 / ((26_624 - 1024) * 20 + 1024 * 2000), rel=0.25)
+
+
 def test_whole_documents_keep_columns_of_any_name(odd):
     named = odd.withColumns({n: F.lit(k) for k, n in enumerate(("__t_id", "__t_key", "__t_times", "copy", "c0", "a.b"))})
     mixed = mixing.mixed_documents(named)
