@@ -121,10 +121,14 @@ _NAME = r"[A-Za-z0-9][A-Za-z0-9._%+-]*"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _WORD_DOT = rf"(?:{_GAP}(?:dot|punkt|punto|point){_GAP}|\.)"
 _TOP = r"(?:com|org|net|edu|gov|info|biz|io|co|dev|app|eu|de|fr|es|uk|us|ca|ch|at|it|nl|mx|ar|br|ru|jp|cn|in|au|invalid|test|example)"
-#: "name at host dot com", with "dot" spelled or a common ending after a real dot.
+#: Any ending after a spelled dot; but "at this point we" is prose, so "point" after a bare "at" asks for a common one.
+_ENDING = rf"(?:{_WORD_DOT}{_TOP}|(?(bare){_GAP}(?:dot|punkt|punto){_GAP}|{_GAP}(?:dot|punkt|punto|point){_GAP})[A-Za-z]{{2,}})"
+#: Before "dot" and no common ending these name a dot, not a host: "pointed at the dot on the map" (fixed values).
+_NO_HOST = frozenset("a an any each every her his its my no one our some that the their this your".split())
+#: "name at host dot pl", with "dot" spelled or a common ending after a real dot.
 _SPOKEN = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])({_NAME}(?:{_GAP}(?:dot|punkt|punto|point){_GAP}{_NAME}){{0,3}})(?:{_GAP}(?:at|arroba){_GAP}|{_MAYBE_GAP}@{_MAYBE_GAP}|_at_|-at-)"
-    rf"({_LABEL}(?:{_WORD_DOT}{_LABEL}){{0,4}}{_WORD_DOT}{_TOP})(?![A-Za-z0-9-])",
+    rf"(?<![A-Za-z0-9._%+-])({_NAME}(?:{_GAP}(?:dot|punkt|punto|point){_GAP}{_NAME}){{0,3}})(?:{_GAP}(?:(?P<bare>at)|arroba){_GAP}|{_MAYBE_GAP}@{_MAYBE_GAP}|_at_|-at-)"
+    rf"(?P<host>{_LABEL}(?:{_WORD_DOT}{_LABEL}){{0,4}}{_ENDING})(?![A-Za-z0-9-])",
     re.IGNORECASE,
 )
 _SPOKEN_PART = re.compile(rf"{_GAP}(dot|punkt|punto|point|at|arroba){_GAP}|{_MAYBE_GAP}(@){_MAYBE_GAP}|(_at_|-at-)", re.IGNORECASE)
@@ -185,8 +189,10 @@ def deobfuscate(text: str) -> Rewritten | None:
         edits = []
         for m in _SPOKEN.finditer(out.text):
             spoken = "".join(x[0] for x in _SPOKEN_PART.finditer(m[0])).lower()
-            if not re.search(r"dot|punkt|punto|point|arroba|@|_at_|-at-", spoken) and not m[2].lower().endswith((".com", ".org", ".net", ".edu", ".gov", ".info")):
+            if not re.search(r"dot|punkt|punto|point|arroba|@|_at_|-at-", spoken) and not m["host"].lower().endswith((".com", ".org", ".net", ".edu", ".gov", ".info")):
                 continue  # a bare "at" before a dotted word needs a common ending
+            if m["bare"] and m["host"].split()[0].lower() in _NO_HOST and not re.search(rf"[ \t.]{_TOP}\Z", m["host"], re.IGNORECASE):
+                continue
             edits += [
                 (m.start() + p.start(), m.start() + p.end(), "." if p[1] and p[1].lower() not in ("at", "arroba") else "@")
                 for p in _SPOKEN_PART.finditer(m[0])
