@@ -100,9 +100,9 @@ _DIGIT_WORDS = {
     "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
 }
 _WORD = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
-#: Space inside a disguise is a few characters at most, which also keeps every search linear.
-_GAP, _MAYBE_GAP = r"[ \t]{1,4}", r"[ \t]{0,4}"
-_UNIT = rf"(?:(?<!\w)(?:{_WORD})(?!\w)|[0-9]++)"
+#: Space inside a disguise may be of any length; runs are taken whole and never from their middle, which keeps every search linear.
+_GAP, _MAYBE_GAP = r"[ \t]++", r"[ \t]*+"
+_UNIT = rf"(?:(?<!\w)(?:{_WORD})(?!\w)|(?<![0-9])[0-9]++)"
 _GLUE = rf"(?:[ \t]?[.,-]?[ \t]?|{_MAYBE_GAP}(?<!\w)(?:dot|point|punkt|punto|dash)(?!\w){_MAYBE_GAP})"
 #: A row of digits, spelled or not.
 _SPELLED = re.compile(rf"(?:(?:(?<!\w)plus{_GAP})|\+[ \t]?)?{_UNIT}(?:{_GLUE}{_UNIT})+", re.IGNORECASE)
@@ -113,9 +113,9 @@ _OPEN, _CLOSE = r"[(\[{<]", r"[)\]}>]"
 _AT = r"(?:at|arroba|chez|ät|@)"
 _DOT = r"(?:dot|punkt|punto|point|\.)"
 #: "(at)" in any brackets, " @ " with space around; "(dot)" likewise.
-_INSIDE = r"\s{0,4}"
-_BRACKETED_AT = re.compile(rf"{_INSIDE}{_OPEN}{_INSIDE}{_AT}{_INSIDE}{_CLOSE}{_INSIDE}", re.IGNORECASE)
-_BRACKETED_DOT = re.compile(rf"{_INSIDE}{_OPEN}{_INSIDE}{_DOT}{_INSIDE}{_CLOSE}{_INSIDE}", re.IGNORECASE)
+_INSIDE, _BEFORE = r"\s*+", r"(?:(?<!\s)\s++)?+"
+_BRACKETED_AT = re.compile(rf"{_BEFORE}{_OPEN}{_INSIDE}{_AT}{_INSIDE}{_CLOSE}{_INSIDE}", re.IGNORECASE)
+_BRACKETED_DOT = re.compile(rf"{_BEFORE}{_OPEN}{_INSIDE}{_DOT}{_INSIDE}{_CLOSE}{_INSIDE}", re.IGNORECASE)
 _MARKED = re.compile(rf"{_OPEN}{_INSIDE}(?:{_AT}|{_DOT}){_INSIDE}{_CLOSE}|[\s_-](?:dot|punkt|punto|point)[\s_-]|\sat\s|\s@|@\s|arroba|_at_|-at-", re.IGNORECASE)
 _NAME = r"[A-Za-z0-9][A-Za-z0-9._%+-]*"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
@@ -131,7 +131,7 @@ _SPOKEN = re.compile(
     rf"(?P<host>{_LABEL}(?:{_WORD_DOT}{_LABEL}){{0,4}}{_ENDING})(?![A-Za-z0-9-])",
     re.IGNORECASE,
 )
-_SPOKEN_PART = re.compile(rf"{_GAP}(dot|punkt|punto|point|at|arroba){_GAP}|{_MAYBE_GAP}(@){_MAYBE_GAP}|(_at_|-at-)", re.IGNORECASE)
+_SPOKEN_PART = re.compile(rf"(?<![ \t]){_GAP}(dot|punkt|punto|point|at|arroba){_GAP}|(?:(?<![ \t]){_GAP})?+(@){_MAYBE_GAP}|(_at_|-at-)", re.IGNORECASE)
 
 
 @lru_cache(maxsize=4096)

@@ -155,6 +155,8 @@ def test_personal_data(spark, real, odd, none):
         ("host ten is 192[.]168[.]0[.]1 there", "hidden_ip", "192[.]168[.]0[.]1"),
         *[(f"ask john at company dot {end} today", "hidden_email", f"john at company dot {end}") for end in ("pl", "se", "be", "me", "ai", "nz", "tv", "online")],
         ("écrire à jean @ exemple point be ici", "hidden_email", "jean @ exemple point be"),
+        *[(t := f"jane{gap}{at}{gap}example{gap}{dot}{gap}com", "hidden_email", t) for gap in (" " * 5, "\t" * 40) for at, dot in (("(at)", "(dot)"), ("at", "dot"), ("@", "dot"), ("[ at ]", "[      dot ]"))],
+        ("host is 192      dot      168 dot zero dot one", "hidden_ip", "192      dot      168 dot zero dot one"),
         ("j​ane@exam​ple.com", "hidden_email", None),
     ],
 )
@@ -176,6 +178,16 @@ def test_searches_stay_linear():
     assert time.time() - began < 20
 
 
+def test_long_runs_of_space_stay_linear():
+    import time
+
+    began = time.time()
+    run = " " * 300_000
+    for text in (f"one{run}two (at)", f"a dot dot dot{run}b at c dot com", f"a{run}at{run}b{run}dot{run}x (at)", f"a (at){run}(dot){run}(", f"( at{run}) a" * 3, "1" * 300_000 + f"{run}x one", "a \t" * 50_000 + " (at) b"):
+        pii.find_personal_data(text)
+    assert time.time() - began < 20
+
+
 def test_prose_is_left_alone():
     for text in ("He looked at it. The dot on the map was at one end of the five roads.", "one two three, four. At the end.", "Ses yeux à la maison, où il est né. Ñandú é así.", "She was at some point lost, and he pointed at the dot on the map."):
         assert pii.find_personal_data(text)[1] == []
