@@ -23,15 +23,16 @@ verified links, never all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import shipping
 from . import components, store
+from . import text as T
 
 SEGMENTS = 5
 LINKED = 4
@@ -71,8 +72,8 @@ def fingerprint(text: str | None, *, shingle: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a signed long): one row per input row."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, also: Sequence[Column] = ()) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint's bits as a signed long) and the columns of ``also``: one row per input row."""
 
     shipping.ship(docs.sparkSession)
 
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t, shingle=shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).alias("doc_id"), hashed(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("doc_id"), hashed(F.col(text_col)).alias("fp"), *also)
 
 
 def _segment(fps: np.ndarray, k: int) -> np.ndarray:
@@ -231,22 +232,44 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     result.
     """
     docs_fp = store.keep(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    distinct = store.keep(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    by_fp = least_of_component(docs_fp, F.col("doc_id")).withColumnRenamed("least", "component_id")
+    return docs_fp.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def least_of_component(docs_fp: DataFrame, value: Column) -> DataFrame:
+    """``fp, least``: for each fingerprint the least ``value`` of the rows in its component."""
+    distinct = store.keep(docs_fp.groupBy("fp").agg(F.min(value).alias("least")), "distinct-fingerprints")
     links = store.keep(fingerprint_links(distinct), "links")
     roots = components.connected_components(links)
     tied = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = tied.join(of_root, "root").select("fp", "component_id")
-    return docs_fp.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_root = tied.groupBy("root").agg(F.min("least").alias("least"))
+    return tied.drop("least").join(of_root, "root").select("fp", "least")
 
 
 def keep_one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, with their columns as they were.
+    """One row of ``docs`` per component, with its columns as they were: that of the smallest id, rows without one last.
 
-    The ids that go are found from fingerprints; the texts are joined against them
-    once.  Rows without an id can't be named by a component and stay.  Of repeated
-    rows with one id, all stay or all go.
+    The texts that go are named by id (null is an id here) and hash of the text, and
+    found from fingerprints; the texts are joined against them once.  Of rows that
+    share id and text one stays, found in a second join of these alone.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle)
-    gone = store.keep(found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__gone_id")).distinct(), "duplicates")
-    return docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti")
+    key = F.xxhash64(T.whole(F.col(text_col)))
+    docs_fp = store.keep(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, also=[key.alias("key")]), "fingerprints")
+    by_fp = least_of_component(docs_fp, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "key"))
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("fp") == F.col("least.fp")) & (F.col("key") == F.col("least.key"))
+    told = docs_fp.join(by_fp, "fp").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), first.alias("__first"))
+    texts = told.groupBy("__id", "__key").agg(F.max("__first").alias("__first"), F.count("*").alias("__n"))
+    marked = store.keep(texts.where("NOT __first OR __n > 1"), "duplicates")
+
+    def same(names: DataFrame) -> Column:
+        return docs[id_col].eqNullSafe(names["__id"]) & (F.xxhash64(T.whole(docs[text_col])) == names["__key"])
+
+    once = docs.join(marked, same(marked), "left_anti")
+    repeated = marked.where("__first")
+    if repeated.isEmpty():
+        return once
+    # `docs` may have columns of any name, so its own are kept by their place.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    hit = docs.join(repeated, same(repeated)).select(repeated["__id"].alias("id"), repeated["__key"].alias("key"), F.struct(*[docs[f"`{c}`"].alias(n) for n, c in zip(names, docs.columns, strict=True)]).alias("row"))
+    one = hit.groupBy("id", "key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return once.union(one.select(*[F.col(f"row.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)]))

@@ -55,6 +55,16 @@ def test_odd_rows(spark, odd, none):
     assert {r["doc_id"] for r in kept.collect()} == {c for i, _, c in plain_components(rows) if i == c or i is None} | {None}
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d = (" ".join(f"{p}{k}" for k in range(40)) for p in "abcd")
+    rows = [(3, a, "x"), (3, a, "y"), (3, a, "x"), (None, b, "x"), (None, b, "y"), (1, c, "x"), (2, c, "x"), (2, d, "x"), (None, c, "x"), (2, a.upper(), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one_per_group(docs).collect()]
+    assert order(kept) == order([(2, a.upper()), (None, b), (1, c), (2, d)])
+    kept = simhash.keep_one_per_group(docs.where("note = 'x' AND doc_id IS NULL OR doc_id = 3"))
+    assert order((r["doc_id"], r["text"]) for r in kept.collect()) == order([(3, a), (None, b), (None, c)]) and kept.columns == docs.columns
+
+
 @pytest.mark.parametrize(("seed", "links", "refined"), [(0, 2, 2048), (1, 3, 2048), (2, 2, 20)])
 def test_links_lose_no_pair_in_dense_groups(spark, monkeypatch, seed, links, refined):
     monkeypatch.setattr(simhash, "REFINED_FROM", refined)
