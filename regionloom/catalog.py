@@ -863,7 +863,7 @@ def annealing_plan(spark, sf_dir):
     c = Cluster(spark, sf_dir)
     n = c.n_servers
     held = annotate.transfer_costs(c.blocks, c.blocks.select("region_id", F.explode("replicas").alias("server_id")).distinct().where(F.col("server_id") < n))
-    return search.balance(c.regions, c.servers, ranges=c.ranges, transfer=held, chains=8, steps=400)
+    return search.balance(c.regions, c.servers, ranges=c.ranges, transfer=held, chains=8)
 
 
 @query(

@@ -44,3 +44,10 @@ def test_query(spark, duck, name):
     assert len(rows) == len(want_rows)
     for a, b in zip(rows, want_rows, strict=True):
         assert all(x == y or (isinstance(x, float) and y is not None and math.isclose(x, float(y), rel_tol=1e-9, abs_tol=2e-9)) for x, y in zip(a, b, strict=True)), (a, b)
+
+
+def test_annealing_plan_runs_the_default_steps(spark, monkeypatch):
+    given = {}
+    monkeypatch.setattr(catalog.search, "balance", lambda *_, **options: given.update(options))
+    catalog.QUERIES["annealing_plan"](spark, "/root/testdata/sf0.001")
+    assert "steps" not in given
