@@ -1,8 +1,10 @@
 """Secret scanning: fixed patterns, and sliding-window entropy of candidate strings.
 
 All of it is built-in functions over one row at a time, so nothing is shuffled.
-Positions come from splitting the text at the matches: the pieces' and matches'
-lengths in code points add up to each match's start.
+Positions come from splitting the text at the matches: running sums of the pieces'
+and matches' lengths in code points are the matches' starts and ends.  Work on a
+text grows with its length, whatever it holds: no pattern repeats a group in a way
+that Java's engine answers by recursion, and running sums are taken in stretches.
 
 A candidate is a run of at least `LEAST_CANDIDATE` characters that secrets are
 written in, holding letters and digits.  A window of `WINDOW` characters slides
@@ -32,6 +34,8 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 #: Bits per character that the best window has to reach, by character class.
 HEX_BITS, ALNUM_BITS, MIXED_BITS = 3.0, 3.6, 3.8
 
+#: Plain words joined by marks.
+_JOINED_WORD = r"(?:[A-Za-z]{2,}[0-9]{0,4}[+/_=-]+)"
 #: Candidates that aren't secrets (fixed values): public sample keys, the digest of
 #: nothing, UUIDs, plain words joined by marks, placeholders.
 ALLOWED = (
@@ -39,9 +43,11 @@ ALLOWED = (
     r"|da39a3ee5e6b4b0d3255bfef95601890afd80709|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
     r"|d41d8cd98f00b204e9800998ecf8427e"
     r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-    r"|[0-9+/_=-]+|[A-Za-z+/_=-]+|(?:[A-Za-z]{2,}[0-9]{0,4}[+/_=-]+)+[A-Za-z]*[0-9]{0,4})$"
+    rf"|[0-9+/_=-]+|[A-Za-z+/_=-]+|{_JOINED_WORD}+[A-Za-z]*[0-9]{{0,4}})$"
     r"|(?i:example|placeholder|changeme|xxxxxx|123456789|abcdefgh)"
 )
+#: The same language; the possessive repeat is a loop in Java's engine, the greedy one a call per word.
+_ALLOWED_BY_LOOP = ALLOWED.replace(f"{_JOINED_WORD}+", f"{_JOINED_WORD}++")
 
 KINDS = ("assign", "access", "hex", "entropy")
 _SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_="
@@ -50,73 +56,67 @@ _SPAN = "array<struct<start: bigint, rank: int, end: bigint, value: string>>"
 
 def _matches(text: Column, pattern: str, rank: int) -> Column:
     """Spans of all leftmost matches, as an array ordered by start; code points, end exclusive."""
-    before = F.transform(F.split(text, pattern), F.length)
-    return T.bound(
-        F.struct(before.alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")),
-        lambda s: F.aggregate(
-            F.arrays_zip(s.before, s.found),
-            F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("spans")),
-            lambda a, m: F.struct(
-                (a["at"] + m["before"] + F.coalesce(F.length(m["found"]), F.lit(0))).cast("long").alias("at"),
-                F.when(m["found"].isNull(), a["spans"])
-                .otherwise(
-                    F.concat(
-                        a["spans"],
-                        F.array(
-                            F.struct(
-                                (a["at"] + m["before"]).cast("long").alias("start"),
-                                F.lit(rank).alias("rank"),
-                                (a["at"] + m["before"] + F.length(m["found"])).cast("long").alias("end"),
-                                m["found"].alias("value"),
-                            )
-                        ),
-                    )
-                )
-                .cast(_SPAN)
-                .alias("spans"),
+
+    def spans(pieces: Column, found: Column) -> Column:
+        widths = F.transform(found, lambda v, k: F.length(pieces[k]).cast("long") + F.length(v))
+        return T.bound(
+            T.running(widths, F.lit(0).cast("long"), lambda a, x: a + x),
+            lambda ends: F.transform(
+                found,
+                lambda v, k: F.struct((ends[k] - F.length(v)).alias("start"), F.lit(rank).alias("rank"), ends[k].alias("end"), v.alias("value")),
             ),
-            lambda a: a["spans"],
-        ),
-    )
+        )
+
+    both = F.struct(F.split(text, pattern).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return T.bound(both, lambda s: spans(s["pieces"], s["found"]))
 
 
 def _where_found(text: Column, pattern: str, spans: Column) -> Column:
     """``spans`` where the pattern occurs at all: most texts are settled by one scan."""
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(pattern), spans.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def best_window_bits(value: Column, window: int = WINDOW) -> Column:
     """The largest Shannon entropy (bits per character) of any ``window`` consecutive characters.
 
-    A value shorter than the window is taken as one window.
+    A value shorter than the window is taken as one window.  A window's counts are
+    small, so they lie side by side in a few longs, and a step touches two of them.
     """
-    symbols = len(_SYMBOLS)
+    symbols, bits = len(_SYMBOLS), window.bit_length()
+    per_word = 62 // bits
+    words = symbols // per_word + 1
 
     def term(n: Column) -> Column:
         return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
 
+    def place(code: Column) -> Column:
+        return (code % per_word) * bits
+
+    def count(packed: Column, code: Column) -> Column:
+        return F.call_function("shiftright", packed[F.floor(code / per_word).cast("int")], place(code)).bitwiseAND(F.lit((1 << bits) - 1))
+
+    def one(code: Column, k: Column) -> Column:
+        """What counts one ``code``, in the long of number ``k``."""
+        return F.when(F.floor(code / per_word) == k, F.call_function("shiftleft", F.lit(1).cast("long"), place(code))).otherwise(F.lit(0).cast("long"))
+
     def step(state: Column, i: Column, codes: Column) -> Column:
-        entering = codes[i]
-        leaving = F.when(i >= window, codes[F.greatest(i - window, F.lit(0))]).otherwise(F.lit(-1))
-        swapped = entering != leaving
-        up = F.when(swapped, state["counts"][entering]).otherwise(F.lit(0))
-        down = F.when(swapped & (leaving >= 0), state["counts"][F.greatest(leaving, F.lit(0))]).otherwise(F.lit(0))
-        total = (
-            state["total"]
-            + F.when(swapped, term(up + 1) - term(up)).otherwise(F.lit(0.0))
-            + F.when(swapped & (leaving >= 0), term(down - 1) - term(down)).otherwise(F.lit(0.0))
-        )
-        counts = F.transform(
-            state["counts"],
-            lambda n, k: n + F.when(swapped & (k == entering), F.lit(1)).otherwise(F.lit(0)) - F.when(swapped & (k == leaving), F.lit(1)).otherwise(F.lit(0)),
-        )
+        entering, full_before = codes[i], i >= window
+        leaving = F.when(full_before, codes[F.greatest(i - window, F.lit(0))]).otherwise(F.lit(0))
+        swapped = ~full_before | (entering != leaving)
+        up, down = count(state["counts"], entering), count(state["counts"], leaving)
+        total = F.when(
+            swapped, state["total"] + term(up + 1) - term(up) + F.when(full_before, term(down - 1) - term(down)).otherwise(F.lit(0.0))
+        ).otherwise(state["total"])
+        counts = F.when(
+            swapped,
+            F.transform(state["counts"], lambda n, k: n + one(entering, k) - F.when(full_before, one(leaving, k)).otherwise(F.lit(0).cast("long"))),
+        ).otherwise(state["counts"])
         width = F.least(i + 1, F.lit(window)).cast("double")
         full = (i + 1 >= window) | (i + 1 == F.size(codes))
-        bits = F.log2(width) - total / width
         return F.struct(
             counts.alias("counts"),
             total.cast("double").alias("total"),
-            F.when(full, F.greatest(state["best"], bits)).otherwise(state["best"]).cast("double").alias("best"),
+            F.when(full, F.greatest(state["best"], F.log2(width) - total / width)).otherwise(state["best"]).cast("double").alias("best"),
         )
 
     # A symbol's code is its place in the alphabet; anything else shares the last code.
@@ -125,7 +125,7 @@ def best_window_bits(value: Column, window: int = WINDOW) -> Column:
         coded,
         lambda codes: F.aggregate(
             F.sequence(F.lit(0), F.size(codes) - 1),
-            F.struct(F.array_repeat(F.lit(0), symbols + 1).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best")),
+            F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best")),
             lambda state, i: step(state, i, codes),
             lambda state: state["best"],
         ),
@@ -135,7 +135,7 @@ def best_window_bits(value: Column, window: int = WINDOW) -> Column:
 def _is_random(value: Column) -> Column:
     least = F.when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit(HEX_BITS)).when(value.rlike("^[A-Za-z0-9]+$"), F.lit(ALNUM_BITS)).otherwise(F.lit(MIXED_BITS))
     mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    return mixed & ~value.rlike(ALLOWED) & F.when(mixed, best_window_bits(value) >= least).otherwise(F.lit(False))
+    return mixed & ~value.rlike(_ALLOWED_BY_LOOP) & F.when(mixed, best_window_bits(value) >= least).otherwise(F.lit(False))
 
 
 def _joined(spans: Column) -> Column:
@@ -144,7 +144,7 @@ def _joined(spans: Column) -> Column:
 
 
 def secret_spans(text: Column) -> Column:
-    """``struct<base, added>`` of span arrays for a non-null text, each ordered by start, then kind."""
+    """``struct<base, found>`` of span arrays for a non-null text: those of the fixed patterns, and all; by start, then kind."""
     assigned_value = r"^(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
     assign = _where_found(
         text,
@@ -154,14 +154,17 @@ def secret_spans(text: Column) -> Column:
     access = _where_found(text, ACCESS, _matches(text, ACCESS, 1))
     hexes = _where_found(text, HEX, _matches(text, HEX, 2))
     random = _where_found(text, CANDIDATE, F.filter(_matches(text, CANDIDATE, 3), lambda s: _is_random(s["value"])))
+
+    def uncovered(every: Column) -> Column:
+        """Spans of the fixed patterns, and candidates that no such span encloses: none that starts before ends so late."""
+        reach = T.running(
+            F.transform(every, lambda s: F.when(s["rank"] < 3, s["end"]).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), F.greatest
+        )
+        return T.bound(reach, lambda r: F.filter(every, lambda s, k: (s["rank"] < 3) | (r[k] < s["end"])))
+
     return T.bound(
-        F.struct(F.array_sort(F.concat(assign, access, hexes)).alias("base"), random.alias("random")),
-        lambda s: F.struct(
-            s["base"].alias("base"),
-            F.filter(
-                s["random"], lambda r: ~F.exists(s["base"], lambda b: (b["start"] <= r["start"]) & (b["end"] >= r["end"]))
-            ).alias("added"),
-        ),
+        F.sort_array(F.concat(assign, access, hexes, random)),
+        lambda every: F.struct(F.filter(every, lambda s: s["rank"] < 3).alias("base"), uncovered(every).alias("found")),
     )
 
 
@@ -175,7 +178,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     other columns are ignored, an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), secret_spans(T.whole(F.col(text_col))).alias("s"))
-    both = rows.select("doc_id", F.col("s.base").alias("base"), F.array_sort(F.concat("s.base", "s.added")).alias("found"))
+    both = rows.select("doc_id", "s.base", "s.found")
 
     def many(column: str, rank: int) -> Column:
         return F.size(F.filter(column, lambda s: s["rank"] == rank)).cast("long")

@@ -20,6 +20,30 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, start: Column, combine: Callable[[Column, Column], Column], stretch: int = 512) -> Column:
+    """Running totals (inclusive) of an array of longs under an associative ``combine`` that ``start`` leaves alone.
+
+    Arrays can't be added to in place, so a fold over all of it would copy the square
+    of its length; folds over stretches, and one over their totals, copy far less.
+    """
+
+    def fold(array: Column) -> Column:
+        """``start`` and the running totals after it."""
+        return F.aggregate(array, F.array(start), lambda done, x: F.concat(done, F.array(combine(F.element_at(done, -1), x))))
+
+    def joined(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / stretch).cast("int")), lambda k: fold(F.slice(v, k * stretch + 1, stretch)))
+        return bound(
+            cut,
+            lambda parts: bound(
+                fold(F.transform(parts, lambda p: F.element_at(p, -1))),
+                lambda before: F.flatten(F.transform(parts, lambda p, k: F.transform(F.slice(p, 2, stretch), lambda x: combine(before[k], x)))),
+            ),
+        )
+
+    return bound(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<bigint>")).otherwise(joined(v)))
+
+
 def whole(text: Column) -> Column:
     """The text, a null one as empty."""
     return F.coalesce(text, F.lit(""))
