@@ -6,12 +6,18 @@ ASCII, spelled digits to digits, "at" and "dot" in their disguises to marks.  Ea
 rewritten character keeps the source characters it came from, so what the same
 patterns find in the rewritten text maps back to spans of the source.  Spans that
 only the rewriting shows are reported under kinds of their own.
+
+What counts as a spoken address is fixed: a name of one to four parts, a host of two
+to six labels, "at" and "dot" in the words and brackets listed below, any ending
+after a spelled dot and one of `_TOP` after a real one.  Space may be of any length.
+Every search takes time in proportion to the text.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -107,7 +113,8 @@ _GLUE = rf"(?:[ \t]?[.,-]?[ \t]?|{_MAYBE_GAP}(?<!\w)(?:dot|point|punkt|punto|das
 #: A row of digits, spelled or not.
 _SPELLED = re.compile(rf"(?:(?:(?<!\w)plus{_GAP})|\+[ \t]?)?{_UNIT}(?:{_GLUE}{_UNIT})+", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"(?<!\w)(plus|dot|point|punkt|punto|dash|{_WORD})(?!\w)", re.IGNORECASE)
-_HAS_SPELLED = re.compile(rf"(?<!\w)(?:{_WORD})(?!\w)", re.IGNORECASE)
+#: A spelled digit, or a spelled mark between digits.
+_HAS_SPELLED = re.compile(rf"(?<!\w)(?:{_WORD})(?!\w)|(?<=[0-9]){_GAP}(?:dot|point|punkt|punto|dash){_GAP}(?=[0-9])", re.IGNORECASE)
 
 _OPEN, _CLOSE = r"[(\[{<]", r"[)\]}>]"
 _AT = r"(?:at|arroba|chez|ät|@)"
@@ -223,10 +230,12 @@ def find_personal_data(text: str | None) -> tuple[dict[str, list[Span]], list[tu
     every = [(a, k, b) for k, kind in enumerate(BASE_KINDS) for a, b in base[kind]]
     if (plain := deobfuscate(text)) is not None:
         for k, (kind, find) in enumerate(FINDERS.items()):
-            known = base[kind]
+            # A kind's spans are in order and apart, so of those that start before `b` the last ends last.
+            starts = [a for a, _ in base[kind]]
             for span in find(plain.text):
                 a, b = plain.source(span)
-                if not any(x < b and a < y for x, y in known):
+                before = bisect_left(starts, b)
+                if before == 0 or base[kind][before - 1][1] <= a:
                     every.append((a, len(BASE_KINDS) + k, b))
     return base, sorted(every)
 

@@ -192,6 +192,8 @@ def test_personal_data(spark, real, odd, none):
         *[(f"ask john at company dot {end} today", "hidden_email", f"john at company dot {end}") for end in ("pl", "se", "be", "me", "ai", "nz", "tv", "online")],
         ("écrire à jean @ exemple point be ici", "hidden_email", "jean @ exemple point be"),
         *[(t := f"jane{gap}{at}{gap}example{gap}{dot}{gap}com", "hidden_email", t) for gap in (" " * 5, "\t" * 40) for at, dot in (("(at)", "(dot)"), ("at", "dot"), ("@", "dot"), ("[ at ]", "[      dot ]"))],
+        ("host 192 dot 168 dot 0 dot 1 is up", "hidden_ip", "192 dot 168 dot 0 dot 1"),
+        ("card 4520 dash 7749 dash 3256 dash 6279.", "hidden_card", "4520 dash 7749 dash 3256 dash 6279"),
         ("host is 192      dot      168 dot zero dot one", "hidden_ip", "192      dot      168 dot zero dot one"),
         ("j​ane@exam​ple.com", "hidden_email", None),
     ],
@@ -205,6 +207,73 @@ def test_disguises(text, kind, piece):
         assert (kind, piece) in found
 
 
+def naive_hidden(text, starts, ends, rewritten):
+    """Spans of the fixed patterns in a rewritten text, by source, that meet no span of their kind in the source."""
+    base = plain_pii(text)
+    told = [(starts[a], k, ends[b - 1]) for a, k, b in plain_pii(rewritten)]
+    return sorted((a, k + 4, b) for a, k, b in told if not any(k == j and x < b and a < y for x, j, y in base))
+
+
+def test_look_alikes_map_back_to_the_source():
+    rng = random.Random(9)
+    twins = {}
+    for c, like in pii.LOOK_ALIKES.items():
+        twins.setdefault(like, []).append(c)
+    pieces = ["jane.doe@example.com", "192.168.0.1", "4520774932566279", "+1 784 555 8120", "some plain words", "a@b.cc", "10.0.0.300", "@", "x.y"]
+    met = 0
+    for _ in range(300):
+        text = ""
+        for piece in rng.choices(pieces, k=rng.randrange(1, 8)):
+            share = rng.choice([0, 0.2, 0.6])
+            for c in piece:
+                full = chr(ord(c) + 0xFEE0) if c.isalnum() else c
+                text += rng.choice([*twins.get(c, [full]), full]) if rng.random() < share else c
+                text += "\u200b" if rng.random() < share / 6 else ""
+            text += rng.choice([" ; ", " és ", "\n"])
+        rewritten, starts, ends = "", [], []
+        for i, c in enumerate(text):
+            like = c if c.isascii() or "À" <= c <= "ÿ" else pii.look_alike(c)
+            rewritten += like
+            starts += [i] * len(like)
+            ends += [i + 1] * len(like)
+        _, every = pii.find_personal_data(text)
+        want = naive_hidden(text, starts, ends, rewritten)
+        assert [s for s in every if s[1] >= 4] == want, text
+        met += len(want)
+    assert met > 200
+
+
+def test_disguises_keep_their_offsets():
+    rng = random.Random(10)
+    made = [
+        ("hidden_email", lambda: f"{rng.choice(['jane', 'j.doe', 'x_1'])}{rng.choice([' (at) ', '[at]', ' at ', '  @ ', '_at_'])}{rng.choice(['mail.example', 'host'])}{rng.choice([' (dot) ', '[dot]', ' dot '])}com"),
+        ("hidden_ip", lambda: rng.choice(["[.]", "(dot)", " dot "]).join(rng.choice(["10", "255", "0", "seven", "zero"]) for _ in range(3)) + rng.choice(["[.]one", "(dot)9", " dot nine"])),
+        ("hidden_phone", lambda: "plus " + " ".join(rng.choice(["one", "two", "three", "seven", "nine"]) for _ in range(rng.randrange(9, 12)))),
+    ]
+    filler = ["quite ordinary words;", "a line of prose.\n", "ünïcode 💡 text,", "mail a@b.cc now;"]
+    for _ in range(300):
+        text, want = "", []
+        for _ in range(rng.randrange(1, 6)):
+            text += rng.choice(filler) + " | "
+            kind, make = rng.choice(made)
+            piece = make()
+            want.append((kind, len(text), len(text) + len(piece)))
+            text += piece + " ; "
+        _, every = pii.find_personal_data(text)
+        assert [(pii.KINDS[k], a, b) for a, k, b in every if k >= 4] == want, text
+
+
+def test_many_identifiers_beside_a_disguise():
+    import time
+
+    text = "a@b.cc 1.2.3.4; 4520774932566279; +1 784 555 8120; " * 25_000 + "jane (at) example (dot) com"
+    began = time.time()
+    base, every = pii.find_personal_data(text)
+    assert time.time() - began < 20
+    assert [len(base[k]) for k in pii.BASE_KINDS] == [25_000] * 4
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in every if k >= 4] == [("hidden_email", "jane (at) example (dot) com")]
+
+
 def test_searches_stay_linear():
     import time
 
