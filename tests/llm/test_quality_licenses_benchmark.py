@@ -120,14 +120,27 @@ def edits_inside(item, text):
     return min(row)
 
 
-def test_banded_edits():
+@pytest.mark.parametrize("tail", [False, True])
+def test_banded_edits(tail):
     rng = random.Random(5)
-    for _ in range(200):
+    cases = []
+    for _ in range(400):
         item = "".join(rng.choices("abc", k=rng.randrange(1, 25)))
         text = "".join(rng.choices("abc", k=rng.randrange(0, 40)))
-        budget = rng.randrange(6)
-        want = min(edits_inside(item, text), budget + 1)
-        assert decontaminate.banded_edits(decontaminate.codes(item), decontaminate.codes(text), budget) == want
+        cases.append((item, text, rng.randrange(6)))
+    index = decontaminate.Index(list(range(len(cases))), [c[0] for c in cases])
+    index.budget = np.array([c[2] for c in cases])
+    index.from_tail = np.full(len(cases), tail)
+    buffer, low, high = "\0" * 99, [], []
+    for _, text, _ in cases:
+        low.append(len(buffer))
+        buffer += text
+        high.append(len(buffer))
+        buffer += "\0" * 99
+    # a stretch reaches as far as the item is long, and then as far as the text is
+    high = np.maximum(np.array(high), np.array(low) + [len(c[0]) for c in cases])
+    got = decontaminate.edits_within(index, decontaminate.codes(buffer).astype(np.uint32), np.arange(len(cases)), np.array(low), high)
+    assert got.tolist() == [min(edits_inside(item, text), budget + 1) for item, text, budget in cases]
 
 
 def test_contaminated_against_brute_force(spark, monkeypatch):
@@ -167,11 +180,78 @@ def test_contaminated_against_brute_force(spark, monkeypatch):
         got = Counter((r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.contaminated(docs, bench, **options).collect())
         assert got == want and len(want) > 30
     index = decontaminate.Index([k for k, x in items if decontaminate.plain(x)], [decontaminate.plain(x) for k, x in items if decontaminate.plain(x)])
-    monkeypatch.setattr(decontaminate, "BUFFER_CHARS", 97)  # pieces shorter than an item
-    found = decontaminate.find_items(index, [decontaminate.plain(t) for _, t in rows])
-    assert Counter((d, index.ids[i], e) for (d, _), f in zip(rows, found) for i, e in f.items()) == want
+    for limits in ({"BUFFER_CHARS": 97}, {"POSTINGS": 20, "CELLS": 60}, {"BUFFER_CHARS": 97, "POSTINGS": 3, "CELLS": 1}):  # pieces shorter than an item, lists in parts
+        for name, value in limits.items():
+            monkeypatch.setattr(decontaminate, name, value)
+        found = decontaminate.find_items(index, [decontaminate.plain(t) for _, t in rows])
+        assert Counter((d, index.ids[i], e) for (d, _), f in zip(rows, found) for i, e in f.items()) == want
+        monkeypatch.undo()
     clean = [r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()]
-    assert Counter(clean) == Counter(d for d, _ in rows if d not in {k[0] for k in want})
+    assert Counter(clean) == Counter(d for d, _ in rows if d not in {d for d, k, _ in want if k != 93})  # "tiny" is too short to convict
+
+
+def test_short_items_are_whole_words(spark):
+    plain = decontaminate.plain
+    index = decontaminate.Index([1, 2, 3], ["no", "a", "is known"])
+    texts = ["nothing is known here", "No!", "is unknown", "this is known", "is known", "", "a-no", "banana"]
+    assert [sorted(f) for f in decontaminate.find_items(index, [plain(t) for t in texts])] == [[2], [0], [], [2], [2], [], [0, 1], []]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([("x", "no"), ("y", "a"), ("z", "is known"), ("w", "ba na"), (None, "No."), ("x", "no")], "item_id string, text string")
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect())
+    assert got == Counter([(0, "z"), (1, "x"), (1, None), (3, "z"), (4, "z"), (6, "x"), (6, "y"), (6, None)])
+    assert decontaminate.keep_clean(docs, bench).count() == len(texts)
+
+
+def test_repeats_and_shared_stems_against_brute_force():
+    rng = random.Random(8)
+
+    def word():
+        return "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 8)))
+
+    stem = "which of the following statements is the best answer to"
+    items = [f"{stem} {' '.join(word() for _ in range(6))}" for _ in range(12)] + [f"{' '.join(word() for _ in range(6))} {stem}" for _ in range(6)]
+    items += ["ha " * 20 + "ha", "abcab" * 12, "x" * 40]
+    texts = [" ".join([stem] * 6), "ha " * 60, "abcab" * 30 + "ab", "x" * 39 + " " + "x" * 60, "x" * 38]
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            t = list(rng.choice([*items, stem]))
+            for _ in range(rng.randrange(6)):
+                at = rng.randrange(len(t))
+                t[at : at + 1] = rng.choice([[], ["q"], [t[at], "q"]])
+            parts.append("".join(t))
+        texts.append(decontaminate.plain(" ".join(parts)))
+    index = decontaminate.Index(list(range(len(items))), items)
+    assert index.from_tail[:12].all() and not index.from_tail[12:18].any()
+    met = 0
+    for t, f in zip(texts, decontaminate.find_items(index, texts)):
+        want = {i: e for i, x in enumerate(items) if (e := edits_inside(x, t)) <= index.budget[i]}
+        assert f == want, t
+        met += len(want)
+    assert met > 80
+
+
+def test_many_items_of_one_stem_stay_quick():
+    import time
+
+    rng = random.Random(9)
+
+    def words(n):
+        return " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n))
+
+    stem = "which of the following statements is the best answer to"
+    items = [f"{stem} {words(5)}" for _ in range(10_000)]
+    index = decontaminate.Index(list(range(len(items))), items)
+    planted = rng.sample(range(len(items)), 40)
+    text = " ".join(f"{stem} {words(8)}" for _ in range(100)) + " " + " ".join(items[i][:-7] + "Q" + items[i][-6:] for i in planted)
+    began = time.time()
+    (found,) = decontaminate.find_items(index, [decontaminate.plain(text)])
+    assert found == dict.fromkeys(planted, 1)
+    assert time.time() - began < 60
+    began = time.time()
+    few = decontaminate.Index(list(range(100)), items[:100])
+    (found,) = decontaminate.find_items(few, [" ".join([stem] * 2000)])
+    assert found == {} and time.time() - began < 60
 
 
 def test_contamination_of_odd_rows(spark, odd, none):
