@@ -11,6 +11,10 @@ heavier than a whole shard's share (a hot group of copies) is split into fixed
 sub-slots by the record's id, which are placed one by one.  There can be no more
 such slots than shards, so the map has at most ``slots + shards * SUB_SLOTS`` rows
 whatever the corpus: that is the bound under which it is broadcast.
+
+Rows that agree in id and text are interchangeable, so they are counted first and
+dealt evenly over the sub-slots.  Places are numbered in chunks of some `CHUNK_ROWS`
+rows, however many rows a slot, a text or an id has.
 """
 
 from __future__ import annotations
@@ -24,25 +28,41 @@ from . import text as T
 
 SLOTS = 4096
 SUB_SLOTS = 16
+#: Rows numbered in one piece, about.
+CHUNK_ROWS = 1 << 14
 #: In the map, a slot that isn't split.
 WHOLE = -1
 
 
 def slotted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """Narrow rows ``doc_id, size, text_crc32, virtual_slot, sub``; the text is hashed and left behind."""
+    """Narrow rows ``doc_id, size, text_crc32, virtual_slot, sub, part, copies``; the text is hashed and left behind.
+
+    Equal rows of ``docs`` become one with their number, or parts of it: one for each
+    sub-slot where they are as many, or more where these would be over `CHUNK_ROWS`.
+    """
     text, key = F.col(text_col), F.col(id_col)
-    return docs.select(
+    rows = docs.select(
         key.alias("doc_id"),
         (T.utf8_bytes(text) + 1).alias("size"),
         F.crc32(F.encode(T.whole(text), "UTF-8")).alias("text_crc32"),
         F.pmod(F.xxhash64(T.whole(text)), F.lit(slots)).cast("int").alias("virtual_slot"),
-        F.pmod(F.xxhash64(key, F.lit("sub")), F.lit(SUB_SLOTS)).cast("int").alias("sub"),
     )
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    n, home = F.col("n"), F.pmod(F.xxhash64("doc_id", F.lit("sub")), F.lit(SUB_SLOTS)).cast("int")
+    parts = F.greatest(F.lit(SUB_SLOTS).cast("long"), F.ceil(n / CHUNK_ROWS))
+    dealt = F.transform(
+        F.sequence(F.lit(0).cast("long"), parts - 1),
+        lambda k: F.struct(
+            (k % SUB_SLOTS).cast("int").alias("sub"), k.alias("part"), (F.floor(n / parts) + F.when(k < n % parts, 1).otherwise(0)).alias("copies")
+        ),
+    )
+    whole = F.array(F.struct(home.alias("sub"), F.lit(0).cast("long").alias("part"), n.alias("copies")))
+    return counted.select(*rows.columns, F.inline(F.when(n < SUB_SLOTS, whole).otherwise(dealt)))
 
 
 def slot_units(rows: DataFrame) -> DataFrame:
     """Bytes and rows of each (slot, sub-slot): at most ``slots * SUB_SLOTS`` rows."""
-    return rows.groupBy("virtual_slot", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("n_rows"))
+    return rows.groupBy("virtual_slot", "sub").agg(F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.sum("copies").alias("n_rows"))
 
 
 def _pieces(units: DataFrame, n_shards: int) -> DataFrame:
@@ -163,8 +183,8 @@ def shard_documents(
     A null text has size 1 and the checksum of the empty text; null ids and
     repeated rows are rows like any other; other columns are ignored; an empty
     table gives an empty result.  Places inside a shard come from counts per
-    bounded (slot, sub-slot) unit and a window within the unit, so neither a hot
-    text nor a whole shard has to pass through one task.
+    bounded (slot, sub-slot) unit, per chunk of a unit, and a window within the
+    chunk, so no hot text, repeated row or shard has to pass through one task.
     """
     spark = docs.sparkSession
     rows = store.keep(slotted(docs, id_col=id_col, text_col=text_col, slots=slots), "slotted")
@@ -173,21 +193,29 @@ def shard_documents(
     write_map(build_map(units, n_shards), path)
     current = read_map(spark, path)
 
-    before = Window.partitionBy("shard").orderBy("virtual_slot", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    unit = ["virtual_slot", "sub"]
+    before = Window.partitionBy("shard").orderBy(*unit).rowsBetween(Window.unboundedPreceding, -1)
     first = (
         apply_map(units, current)
         .withColumn("first", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
-        .select("virtual_slot", "sub", "shard", "first")
+        .select(*unit, "shard", "first", F.ceil(F.col("n_rows") / CHUNK_ROWS).alias("chunks"))
+    )
+    # A row per unit: bounded, whatever the corpus.
+    chunked = rows.join(F.broadcast(first), unit).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32", "part"), F.col("chunks")))
+    in_unit = Window.partitionBy(*unit).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        chunked.groupBy(*unit, "chunk").agg(F.sum("copies").alias("n")).select(*unit, "chunk", F.coalesce(F.sum("n").over(in_unit), F.lit(0)).alias("start"))
     )
-    place = Window.partitionBy("virtual_slot", "sub").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("place", F.row_number().over(place))
-    return numbered.join(F.broadcast(first), ["virtual_slot", "sub"]).select(
+    in_chunk = Window.partitionBy(*unit, "chunk").orderBy("doc_id", "text_crc32", "size", "part").rowsBetween(Window.unboundedPreceding, 0)
+    placed = chunked.withColumn("ends", F.sum("copies").over(in_chunk)).join(starts, [*unit, "chunk"])
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    return placed.select("doc_id", "size", "text_crc32", "shard", "virtual_slot", (F.col("first") + F.col("start") + F.col("ends") - F.col("copies")).alias("at"), copies).select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("first") + F.col("place") - 1).cast("long").alias("slot"),
+        (F.col("at") + F.col("copy") - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
         F.lit(1).alias("map_version"),

@@ -145,6 +145,20 @@ def test_a_hot_text_is_split(spark):
     assert max(loads) <= 1.05 * sum(loads) / 16
 
 
+def test_equal_rows_are_spread(spark, monkeypatch):
+    rows = [(None, "the same text again") if i % 3 == 0 else (7, "one id") if i % 3 == 1 else (i, f"text number {i}") for i in range(3000)]
+    monkeypatch.setattr(sharding, "CHUNK_ROWS", 7)
+    loads = check_shards(rows, sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert max(loads) <= 1.05 * sum(loads) / 16
+
+
+def test_places_do_not_depend_on_how_rows_lie(spark, real):
+    docs = spark.createDataFrame(real, "doc_id long, text string, source string")
+    docs = docs.union(docs.limit(20)).drop("source")
+    a, b = (sharding.shard_documents(d).collect() for d in (docs, docs.repartition(5)))
+    assert sorted(map(str, a)) == sorted(map(str, b))
+
+
 def test_map_versions(spark, real):
     docs = spark.createDataFrame(real, "doc_id long, text string, source string")
     rows = sharding.slotted(docs)
