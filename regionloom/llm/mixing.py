@@ -11,7 +11,8 @@ against every shard, and a shard that gives all it may ends in a partial block.
 
 The two apportionments work on counts per source and per shard; documents are only
 hashed, numbered inside their (source, shard) and given their part.  A source that
-holds a third of all rows has a third of the shards.
+holds a third of all rows has a third of the shards, and rows that agree in all that
+matters are counted first and dealt to shards in parts.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ from . import text as T
 DOCS_PER_CELL, MOST_SHARDS = 64, 1 << 18
 MOST_REPEATS = 3
 WEIGHTS = (1, 2, 3)
+#: A recipe has a row per source, which the driver holds; beyond so many, `source_col` is no source.
+MOST_SOURCES = 1_000_000
+#: Share of its target by which a source's blocks may miss it, and words.
+MISSED_SHARE, MISSED_WORDS = 0.01, 1
 
 
 def capped_targets(sizes: Sequence[int], weights: Sequence[float], most: float = MOST_REPEATS) -> list[float]:
@@ -108,6 +113,19 @@ def hand_out(held: Sequence[int], words: int, block: int, most: int = MOST_REPEA
     return [int(x) for x in given + np.clip(words - given.sum() - (room.cumsum() - room), 0, room)]
 
 
+def source_quotas(sizes: Sequence[int], targets: Sequence[float], block: int, most: int = MOST_REPEATS) -> list[int]:
+    """Words that each source gives: whole blocks by highest quotients, at most ``most`` times what it has.
+
+    An error says so if that misses a source's target.
+    """
+    seats = sainte_lague(targets, round(sum(targets) / block), [-(-most * s // block) for s in sizes])
+    quotas = [min(n * block, most * s) for n, s in zip(seats, sizes, strict=True)]
+    for number, (quota, target) in enumerate(zip(quotas, targets, strict=True)):
+        if abs(quota - target) > max(MISSED_SHARE * target, MISSED_WORDS):
+            raise ArithmeticError(f"source number {number} would give {quota} words in place of {target:.0f}, in blocks of {block}")
+    return quotas
+
+
 def mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS,
     most: int = MOST_REPEATS, shards: int | None = None, seed: int = 11,
@@ -123,27 +141,30 @@ def mix(
     same mix.
 
     The number of sources is that of a mixture's recipe: a row per source reaches
-    the driver, a row per source and shard one task per source.
+    the driver (more than `MOST_SOURCES` are an error), a row per source and shard
+    one task per source.
     """
     spark = docs.sparkSession
     shipping.ship(spark)
-    rows = store.keep(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            T.word_count(T.whole(F.col(text_col))).alias("size"),
-            F.xxhash64(T.whole(F.col(text_col))).alias("text_hash"),
-        ),
-        "sizes",
+    text = T.whole(F.col(text_col))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), T.word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"))
+    counted = named.groupBy(*named.columns).agg(F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / DOCS_PER_CELL)
+    dealt = F.transform(
+        F.sequence(F.lit(0).cast("long"), parts - 1),
+        lambda k: F.struct(k.alias("part"), (F.floor(F.col("n") / parts) + F.when(k < F.col("n") % parts, 1).otherwise(0)).alias("copies")),
     )
+    rows = store.keep(counted.select(*named.columns, F.inline(dealt)), "sizes")
     # A source has as many shards as give each some `DOCS_PER_CELL` documents, so a hot source has many.
-    rows_of = rows.groupBy("source").agg(F.count("*").alias("n")).collect()
+    rows_of = rows.groupBy("source").agg(F.sum("copies").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(rows_of) > MOST_SOURCES:
+        raise ValueError(f"{source_col} has more than {MOST_SOURCES} values; a mixture's sources are fewer")
     spread = spark.createDataFrame(
         [(r["source"], shards or min(max(r["n"] // DOCS_PER_CELL, 1), MOST_SHARDS)) for r in rows_of], "s_source string, n_shards int"
     )
-    dealt = rows.join(spread, F.col("source").eqNullSafe(F.col("s_source")))
-    keyed = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.col("n_shards")).cast("int")).drop("s_source", "n_shards")
-    cells = store.keep(keyed.groupBy("source", "shard").agg(F.sum("size").alias("words")), "cells")
+    sharded = rows.join(spread, F.col("source").eqNullSafe(F.col("s_source")))
+    keyed = sharded.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_hash", "part", F.lit(seed)), F.col("n_shards")).cast("int")).drop("s_source", "n_shards")
+    cells = store.keep(keyed.groupBy("source", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("words")), "cells")
 
     totals = cells.groupBy("source").agg(F.sum("words").alias("words")).collect()
     totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -151,8 +172,7 @@ def mix(
     targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most)
     smallest = cells.where("words > 0").agg(F.min("words")).first()[0] or 1
     block = block_words(sizes, targets, smallest)
-    seats = sainte_lague(targets, round(sum(targets) / block), [-(-most * s // block) for s in sizes])
-    quotas = [min(n * block, most * s) for n, s in zip(seats, sizes, strict=True)]
+    quotas = source_quotas(sizes, targets, block, most)
     recipe = spark.createDataFrame(
         [(r["source"], s, t, q) for r, s, t, q in zip(totals, sizes, targets, quotas, strict=True)], "source string, source_size long, target double, quota long"
     )
@@ -163,9 +183,9 @@ def mix(
         return part[["source", "shard", "words"]].assign(given=hand_out(held, int(part["quota"].iloc[0]), block, most))
 
     # The recipe has a row per source, of which the driver holds the list already.
-    counted = cells.join(recipe.select(F.col("source").alias("r_source"), "quota"), F.col("source").eqNullSafe(F.col("r_source")))
+    due = cells.join(recipe.select(F.col("source").alias("r_source"), "quota"), F.col("source").eqNullSafe(F.col("r_source")))
     quota = (
-        counted.groupBy("source")
+        due.groupBy("source")
         .applyInPandas(by_shard, "source string, shard int, words long, given long")
         .select(
             F.col("source").alias("q_source"),
@@ -178,8 +198,10 @@ def mix(
     blocks = F.greatest(F.floor(F.col("words") / block), F.lit(1))
     quota = store.keep(quota, "quotas").withColumn("from_word", F.pmod(F.xxhash64("q_source", "q_shard", F.lit(seed)), blocks) * block)
 
-    seeded = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "text_hash", "size")
-    ring = keyed.withColumn("ends", F.sum("size").over(seeded.rowsBetween(Window.unboundedPreceding, 0)))
+    seeded = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "text_hash", "size", "part")
+    ring = keyed.withColumn("ends", F.sum(F.col("size") * F.col("copies")).over(seeded.rowsBetween(Window.unboundedPreceding, 0)))
+    # from here on a row for each copy again
+    ring = ring.withColumn("later", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("ends", F.col("ends") - F.col("later") * F.col("size"))
     placed = ring.join(quota, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
     turns = F.expr("words_taken div words")
     rest = F.col("words_taken") - turns * F.col("words")

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -100,6 +101,41 @@ def test_shards_smaller_than_a_share_of_the_whole(spark):
     assert all(r["taken"] == pytest.approx(r["target"], rel=0.001) and r["most"] <= 3 for r in got.values())
 
 
+def test_a_missed_target_is_an_error():
+    assert mixing.source_quotas([1000, 1000], [500.0, 1500.0], 7) == [71 * 7, 215 * 7]  # 286 blocks of 7 words
+    with pytest.raises(ArithmeticError, match="source number 1"):
+        mixing.source_quotas([10**6, 2000], [10**6, 3000.0], 4000)
+
+
+@pytest.mark.parametrize("sources", [[(8_000_000, 300), (1_000_000, 10)], [(7_000_000, 300), (1_000_000, 10)], [(16_000_000, 300)] * 20, [(1_000_000, 300)] * 300, [(10**9, 400), (10**9, 2), (3, 1)]])
+def test_no_source_loses_its_quota_at_scale(sources):
+    # words of the first shards of each source, as so many documents of so many words would fill them
+    rng = np.random.default_rng(4)
+    sizes = [n * w for n, w in sources]
+    targets = mixing.capped_targets(sizes, [(1, 2, 3)[i % 3] for i in range(len(sizes))])
+    shards = [min(max(n // mixing.DOCS_PER_CELL, 1), mixing.MOST_SHARDS) for n, _ in sources]
+    cells = [np.maximum(rng.poisson(n / k, k) * w, 0) if k > 1 else np.array([n * w]) for (n, w), k in zip(sources, shards, strict=True)]
+    block = mixing.block_words(sizes, targets, min(int(c[c > 0].min()) for c in cells))
+    for size, target, quota, held in zip(sizes, targets, mixing.source_quotas(sizes, targets, block), cells, strict=True):
+        assert quota == pytest.approx(target, rel=0.01, abs=1)
+        words = min(quota * int(held.sum()) // size, 3 * int(held.sum()))
+        given = mixing.hand_out(held.tolist(), words, block)
+        assert sum(given) == words and (np.array(given) <= 3 * held).all()
+
+
+def test_equal_rows_are_mixed_alike(spark):
+    rows = [(None, "ein zwei drei", "a")] * 1000 + [(i, f"text of {i} words", "a" if i % 5 else "b") for i in range(500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    check_mix(rows, got)
+    assert max(Counter(r["taken"] for r in got if r["doc_id"] is None).values()) < 1000
+
+
+def test_too_many_sources_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        mixing.mix(spark.createDataFrame([(i, "x", str(i)) for i in range(4)], "doc_id long, text string, source string"))
+
+
 def test_mix_of_odd_rows(spark, odd, none):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in odd.collect()]
     check_mix(rows, mixing.mix(odd).collect())
