@@ -44,5 +44,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state[0] == 0 or state == seen:
             break
         seen = state
+        written = store.mark()
         current = store.keep(_small_star(_large_star(current)), "edges")
+        store.drop_since(written - 1, but=1)  # the edges of the round before
     return current.select(F.col("b").alias("node"), F.col("a").alias("root"))

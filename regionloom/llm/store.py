@@ -2,14 +2,16 @@
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` and reading it
 back, so a lost executor costs a re-read and never a recomputation.  The setting
-is read from the session; only where it is unset (tests, a laptop) a folder
-below the warehouse directory stands in for it.
+is read from the session; only in local mode (tests, a laptop) may it be unset, and
+a folder below the warehouse directory stands in for it.  Tables that no result
+reads any more are dropped by who wrote them, the rest when the driver exits.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +20,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of this session, without a trailing slash."""
+    """The shared folder of this session, without a trailing slash; an error on a cluster that names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_regionloom_shared"
     return folder.rstrip("/")
 
@@ -46,6 +50,19 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def mark() -> int:
+    """What has been written so far, for `drop_since`."""
+    return len(_written)
+
+
+def drop_since(since: int, *, but: int = 0) -> None:
+    """Delete the tables written since a mark, except the last ``but`` of them."""
+    last = len(_written) - but
+    gone, _written[since:last] = _written[since:last], []
+    for spark, path in gone:
+        drop(spark, path)
+
+
 @atexit.register
 def _drop_all() -> None:
     while _written:

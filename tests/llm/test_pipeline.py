@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from regionloom.llm import decontaminate, quality, simhash, store
 
 SF = "/root/testdata/sf0.001"
@@ -46,6 +47,33 @@ def test_stages(spark):
     assert set(r["shard"] for r in shards.select("shard").collect()) <= set(range(16))
 
 
+def test_stages_of_odd_rows(spark, odd, none):
+    named = odd.withColumns({n: F.lit(k) for k, n in enumerate(("stats", "c0", "c3", "measured", "a.b", "__id", "copy"))})
+    rows = [tuple(r) for r in named.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, named, SF)
+        got = [tuple(r) for r in out.collect()]
+        assert stage(spark, none, SF).count() == 0, name
+        if name == "sharding":
+            assert Counter(r[0] for r in got) == Counter(r[0] for r in rows)
+            continue
+        assert out.columns == named.columns, name
+        left = Counter(got)
+        assert all(left[r] <= 3 * rows.count(r) for r in left), name
+        if name == "SimHash near-dedup":
+            assert sorted(Counter(r[0] for r in got).items(), key=str) == sorted({1: 1, 4: 1, 5: 1, None: 1, 7: 1, 9: 1, 10: 1, 11: 1, 12: 1}.items(), key=str)
+        if name == "benchmark decontamination":
+            assert left == Counter(rows)
+        if name == "mixing sources to target weights":
+            assert not any((r[1] or "").strip() == "" for r in got)
+
+
+def test_run_leaves_one_table(spark):
+    before = store.mark()
+    corpus_pipeline.run(spark, SF)
+    assert store.mark() == before + 1
+
+
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     a = corpus_pipeline.run(spark, SF).drop("map_version")

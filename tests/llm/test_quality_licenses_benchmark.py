@@ -46,6 +46,50 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert quality.keep_good(odd, labels).columns == odd.columns
 
 
+def isotonic(values, weights):
+    """By the definition: the largest over starts of the least over ends of the mean in between."""
+    def mean(a, b):
+        return sum(v * w for v, w in zip(values[a : b + 1], weights[a : b + 1])) / sum(weights[a : b + 1])
+
+    return [max(min(mean(a, b) for b in range(i, len(values))) for a in range(i + 1)) for i in range(len(values))]
+
+
+def test_fit_is_the_direct_solution(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] in (0, 1) and not held_out(r["doc_id"])}
+    rows = [([float(v) for v in quality.statistics(r["text"])], float(known[r["doc_id"]])) for r in docs.collect() if r["doc_id"] in known]
+    got = quality.fit(spark.createDataFrame(rows, "stats array<double>, label double").repartition(7), features=64, bins=60, seed=3)
+
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    d, n = x.shape[1], len(x)
+    rng = np.random.default_rng(3)
+    frequencies, phases = rng.normal(size=(d, 64)) / (1.5 * np.sqrt(d)), rng.uniform(0, 2 * np.pi, 64)
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-3), -8, 8)
+    phi = np.column_stack([np.cos(z @ frequencies + phases) * np.sqrt(2 / 64), np.ones(n)])
+    # ridge as least squares with a row of its own for each weight but the constant's
+    tied = np.vstack([phi, np.sqrt(1e-4 * n) * np.eye(65)[:64]])
+    weights = np.linalg.lstsq(tied, np.append(y, np.zeros(64)), rcond=None)[0]
+    raw = phi @ weights
+    assert got.raw(x) == pytest.approx(raw, abs=1e-6)
+
+    bins = np.round((np.clip(raw, -0.5, 1.5) + 0.5) / 2 * 59).astype(int)
+    present = sorted(set(bins.tolist()))
+    share = [y[bins == b].mean() for b in present]
+    many = [int((bins == b).sum()) for b in present]
+    want = np.array(isotonic(share, many))
+    centers = np.array([-0.5 + b * 2 / 59 for b in present])
+    at = np.interp(centers, got.knots, got.values)
+    assert at == pytest.approx(0.98 * want + 0.02 * (centers + 0.5) / 2, abs=1e-9)
+    assert (np.diff(got.values) >= 0).all()
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_isotonic_by_definition(seed):
+    rng = np.random.default_rng(seed)
+    v, w = rng.integers(0, 5, 14) / 4, rng.integers(1, 6, 14).astype(float)
+    assert quality.pool_adjacent_violators(v, w) == pytest.approx(isotonic(v.tolist(), w.tolist()))
+
+
 def test_isotonic():
     v = quality.pool_adjacent_violators(np.array([0.1, 0.5, 0.3, 0.3, 0.9, 0.8]), np.array([1.0, 1, 1, 2, 1, 1]))
     assert v == pytest.approx([0.1, 0.35, 0.35, 0.35, 0.85, 0.85])
