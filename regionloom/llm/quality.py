@@ -91,13 +91,16 @@ def document_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """``doc_id, stats``: one row per input row, whatever its other columns."""
 
     shipping.ship(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("doc_id"), _measured()(F.col(text_col)).alias("stats"))
 
+
+def _measured():
     @F.pandas_udf("array<double>")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([statistics(t) for t in texts])
 
-    return docs.select(F.col(id_col).alias("doc_id"), measured(F.col(text_col)).alias("stats"))
+    return measured
 
 
 def is_held_out(doc_id: F.Column, *, folds: int = 3, fold: int = 1) -> F.Column:
@@ -260,16 +263,17 @@ def score_quality(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that score 0.5 or more, with their columns as they were."""
-    stats = store.keep(document_statistics(docs, id_col=id_col, text_col=text_col), "statistics")
-    known = label_rows(labels).where(~is_held_out(F.col("doc_id")))
-    labelled = store.keep(stats.join(known, "doc_id").select("stats", "label"), "labelled")
-    model = fit(labelled, **options)
+    """The rows of ``docs`` that score 0.5 or more, with their columns as they were.
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            x = np.array([statistics(t) for t in texts]).reshape(len(texts), len(STATISTICS))
-            yield pd.Series(model.score(x))
-
-    return docs.where(scored(F.col(text_col)) >= 0.5)
+    Statistics are computed once, and written beside the rows for the second pass.
+    Null and empty texts are scored like any text, repeated rows and null ids each on
+    their own; without any usable label all scores are 0.5 and all rows stay.
+    Columns may have any name; an empty table gives an empty result.
+    """
+    shipping.ship(docs.sparkSession)
+    own = [docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    measured = store.keep(docs.select(*own, docs[id_col].alias("doc_id"), _measured()(docs[text_col]).alias("stats")), "measured")
+    known = label_rows(labels).where(~is_held_out(F.col("doc_id")))
+    labelled = store.keep(measured.select("doc_id", "stats").join(known, "doc_id").select("stats", "label"), "labelled")
+    good = measured.where(_by_model(fit(labelled, **options), "score")(F.col("stats")) >= 0.5)
+    return good.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
