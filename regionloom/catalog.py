@@ -6,6 +6,9 @@ different orders.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -170,17 +173,18 @@ def report_sizes_rendered(spark, sf_dir):
     return sums.select(F.col("table_name").alias("key"), R.pretty_bytes(F.col("s")).alias("shown"))
 
 
+def _pretty_sql(c: str) -> str:
+    units = "".join(f" WHEN {c} < {1 << power + 10} THEN ({c} // {1 << power}) || ' {unit}'" for power, unit in ((10, "KB"), (20, "MB"), (30, "GB")))
+    return f"CASE WHEN {c} < 2048 THEN CAST({c} AS VARCHAR){units} ELSE ({c} // {1 << 40}) || ' TB' END"
+
+
 @query(
-    cluster_sql(
-        """
-    SELECT table_name AS key, length(table_name) < 40 AS named, count(*) AS n_regions FROM regions GROUP BY 1"""
-    )
+    f"""SELECT key, printf('%-40s %8d %7.3f %10s %10s %10s %7.3f', key, n_regions, load_share, {_pretty_sql("total_size")}, {_pretty_sql("p50")}, {_pretty_sql("p95")}, locality) AS line
+    FROM ({_report_sql("table_name")})"""
 )
 def report_rendered(spark, sf_dir):
-    """The report's lines of fixed width, read back: the key, whether the line is as wide as its format says, and the count."""
-    lines = report.rendered(report.region_report(annotated(Cluster(spark, sf_dir)), "table_name"))
-    line = F.col("line")
-    return lines.select("key", (F.length(line) == 40 + 9 + 8 + 3 * 11 + 8).alias("named"), F.trim(F.substring(line, 41, 9)).cast("bigint").alias("n_regions"))
+    """The report's lines of fixed width."""
+    return report.rendered(report.region_report(annotated(Cluster(spark, sf_dir)), "table_name"))
 
 
 @query(cluster_sql("SELECT region_id, round(load, 9) AS load FROM annotated", _ANNOTATED_SQL))
@@ -383,9 +387,29 @@ def transition_report(spark, sf_dir):
     return moves.transition_report(moves.transitions(c.assignments), c.regions)
 
 
-@query(cluster_sql(f"SELECT *, (row_number() OVER (ORDER BY region_id) - 1) // 75 AS minute FROM ({_MOVED})"))
+@query(cluster_sql(f"SELECT * EXCLUDE (n), n // 75 AS minute, greatest(n - 4, 0) AS after_completions FROM (SELECT *, row_number() OVER (ORDER BY region_id) - 1 AS n FROM ({_MOVED}))"))
 def move_schedule(spark, sf_dir):
-    return moves.schedule(moves.transitions(Cluster(spark, sf_dir).assignments), 75)
+    return moves.schedule(moves.transitions(Cluster(spark, sf_dir).assignments), 75, 5)
+
+
+@query(cluster_sql(f"SELECT count(*) AS in_flight, count(*) < 5 AS room FROM (SELECT region_id FROM ({_MOVED}) INTERSECT SELECT region_id FROM regions WHERE region_id % 20 = 0)"))
+def transition_room(spark, sf_dir):
+    c = Cluster(spark, sf_dir)
+    return moves.transition_room(moves.transitions(c.assignments), c.regions.where("region_id % 20 = 0"), 5)
+
+
+@query(
+    cluster_sql(
+        f"""
+    SELECT m.region_id, from_server, to_server, CASE WHEN a.size = 0 THEN 1 ELSE 1 - t.away / a.size END <= 0.3 AS compact
+    FROM ({_MOVED}) m JOIN regions a USING (region_id) LEFT JOIN (
+      SELECT b.region_id, sum(CASE WHEN to_server = r1 OR (to_server = r2 AND r2 < (SELECT n FROM n)) THEN 0 ELSE b.size END) AS away
+      FROM blocks b JOIN ({_MOVED}) k USING (region_id) GROUP BY 1) t ON t.region_id = m.region_id"""
+    )
+)
+def compaction_after_moves(spark, sf_dir):
+    c = Cluster(spark, sf_dir)
+    return moves.compacted_after(moves.transitions(c.assignments), c.regions, c.blocks, 0.3)
 
 
 @query("SELECT CAST(600000 * 75 // 60000 AS BIGINT) AS budget, CAST(600000 * 10 // 60000 AS BIGINT) AS slow_budget")
@@ -399,13 +423,22 @@ def moves_in_transition(spark, sf_dir):
     return moves.moves_in_transition(moves.transitions(c.assignments), c.regions.where("region_id % 20 = 0"))
 
 
-@query(cluster_sql("SELECT server_id, count(*) > 0 AS one_of_its_own FROM regions GROUP BY 1"))
+@query(cluster_sql("SELECT server_id, count(*) AS n_regions, CAST(1 AS BIGINT) AS n_picked, CAST(1 AS BIGINT) AS n_own, true AS same_again, count(*) = 1 AS only_one FROM regions GROUP BY 1"))
 def random_region_per_server(spark, sf_dir):
-    """A seeded pick of one region per server; the check is that it lies on that server."""
+    """Seeded picks of a region per server: one for each, its own, the same again; over 40 seeds a server of several shows several."""
     r = Cluster(spark, sf_dir).regions
-    picked = moves.pick_one(r, ["server_id"], "region_id", seed=3)
-    back = picked.join(r.select("region_id", F.col("server_id").alias("on")), "region_id")
-    return back.select("server_id", (F.col("on") == F.col("server_id")).alias("one_of_its_own"))
+    held = r.groupBy("server_id").agg(F.count("*").alias("n_regions"))
+    picked, again = (moves.pick_one(r, ["server_id"], "region_id", seed=3) for _ in range(2))
+    own = r.select("region_id", F.col("server_id").alias("on"))
+    back = picked.join(own, "region_id").join(again.select("server_id", F.col("region_id").alias("again")), "server_id")
+    told = back.groupBy("server_id").agg(
+        F.count("*").alias("n_picked"), F.count_if(F.col("on") == F.col("server_id")).alias("n_own"), F.bool_and(F.col("again") == F.col("region_id")).alias("same_again")
+    )
+    drawn = moves.pick_one(r, ["server_id"], "region_id", seed=0)
+    for seed in range(1, 40):
+        drawn = drawn.unionByName(moves.pick_one(r, ["server_id"], "region_id", seed=seed))
+    drawn = drawn.groupBy("server_id").agg((F.countDistinct("region_id") == 1).alias("only_one"))
+    return told.join(held, "server_id").join(drawn, "server_id")
 
 
 @query(
@@ -501,6 +534,22 @@ def plan_major_compact_servers(spark, sf_dir):
     return _compaction(spark, sf_dir, servers=(1, 2, 3))
 
 
+_ASKED = _compaction_sql("true", "hfiles DESC")
+
+
+@query(
+    f"SELECT server_id, position, region_id, transfer, 'major' AS kind, greatest(position - 2, 0) AS after_completions, position * 5 AS earliest_second FROM ({_ASKED})"
+)
+def compaction_throttle(spark, sf_dir):
+    return compaction.throttled(_compaction(spark, sf_dir), queue_size=2, quiet_seconds=5)
+
+
+@query(cluster_sql("SELECT region_id, server_id FROM regions WHERE region_id % 11 <> 0"))
+def regions_not_listed(spark, sf_dir):
+    r = Cluster(spark, sf_dir).regions
+    return compaction.not_listed(r, r.where("region_id % 11 = 0").select("region_id")).select("region_id", "server_id")
+
+
 @query(cluster_sql("SELECT region_id, true AS known FROM regions WHERE region_id % 11 = 0 UNION ALL SELECT -region_id, false FROM regions WHERE region_id % 11 = 0 AND region_id > 0"))
 def listed_regions(spark, sf_dir):
     c = Cluster(spark, sf_dir)
@@ -866,10 +915,37 @@ def annealing_plan(spark, sf_dir):
     return search.balance(c.regions, c.servers, ranges=c.ranges, transfer=held, chains=8)
 
 
-@query(
-    """SELECT split_part(path, '/', 3) AS table_name, count(*) AS n FROM (
-      SELECT '/data/' || o_orderpriority || '/' || md5(CAST(o_custkey AS VARCHAR)) || '/f/' || md5(CAST(o_orderkey AS VARCHAR)) AS path FROM orders) GROUP BY 1"""
-)
+@query()
+def annealing_moves_hold(spark, sf_dir):
+    """What any plan of the search must be: within budget, from where regions are, a move each, cheaper, and as dear as the cost operators say."""
+    c = Cluster(spark, sf_dir)
+    n, budget = c.n_servers, 200
+    held = annotate.transfer_costs(c.blocks, c.blocks.select("region_id", F.explode("replicas").alias("server_id")).distinct().where(F.col("server_id") < n))
+    plan = search.balance(c.regions, c.servers, ranges=c.ranges, transfer=held, chains=2, steps=300, budget=budget)
+    found = plan.collect()  # at most the budget
+    rows = spark.createDataFrame([(r["region_id"], r["from_server"], r["to_server"]) for r in found], "region_id long, from_server long, to_server long")
+    told = rows.join(c.regions.select("region_id", "server_id"), "region_id", "left").join(c.servers.select(F.col("server_id").alias("to_server"), F.lit(True).alias("is_server")), "to_server", "left")
+    moved = c.regions.select("region_id", "table_name", "size", F.col("server_id").alias("old_server")).join(rows.select("region_id", F.col("to_server").alias("to")), "region_id", "left")
+    placed = moved.withColumn("server_id", F.coalesce("to", "old_server"))
+    rescored = cost.combined_cost(cost.Placement(placed, c.servers, c.blocks, c.ranges, budget=budget)).select(F.col("cost").alias("rescored"))
+    final, first = (F.lit(float(found[0][x]) if found else 0.0) for x in ("final_cost", "initial_cost"))
+    return told.agg(
+        ((F.count("*") > 0) & (F.count("*") <= budget)).alias("within_budget"),
+        (F.countDistinct("region_id") == F.count("*")).alias("one_move_each"),
+        F.bool_and(F.col("from_server") == F.col("server_id")).alias("from_where_it_is"),
+        F.bool_and(F.coalesce("is_server", F.lit(False)) & (F.col("from_server") != F.col("to_server"))).alias("to_another_server"),
+    ).crossJoin(rescored).select(
+        "within_budget", "one_move_each", "from_where_it_is", "to_another_server", (final < first).alias("cheaper"), (F.abs(F.col("rescored") - final) <= 1e-6 * F.abs(final)).alias("as_dear_as_told")
+    )
+
+
+ORACLES["annealing_moves_hold"] = "SELECT " + ", ".join(f"true AS {x}" for x in ("within_budget", "one_move_each", "from_where_it_is", "to_another_server", "cheaper", "as_dear_as_told"))
+
+
+_PATHS = "'/data/' || o_orderpriority || '/' || md5(CAST(o_custkey AS VARCHAR))"
+
+
+@query(f"SELECT {_PATHS} || '/f/' || md5(CAST(o_orderkey AS VARCHAR)) AS path, {_PATHS} AS region_path FROM orders")
 def file_attribution(spark, sf_dir):
     o = Cluster(spark, sf_dir).table("orders")
 
@@ -878,5 +954,93 @@ def file_attribution(spark, sf_dir):
 
     region = F.concat(F.lit("/data/"), F.col("o_orderpriority"), F.lit("/"), digest("o_custkey"))
     listing = o.select(F.concat(region, F.lit("/f/"), digest("o_orderkey")).alias("path"))
-    found = files.attribute_files(listing, o.select(region.alias("region_path")).distinct())
-    return found.groupBy(F.split_part("region_path", F.lit("/"), F.lit(3)).alias("table_name")).agg(F.count("*").alias("n"))
+    return files.attribute_files(listing, o.select(region.alias("region_path")).distinct())
+
+
+# -- files ------------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share; removed when the driver exits."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{shared.rstrip('/')}/regionloom-{name}-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    atexit.register(drop)
+    return path
+
+
+_LOGGED = "SELECT '/t/' || l_orderkey AS file, l_linenumber, l_suppkey AS s, CAST(trunc(l_quantity) AS BIGINT) AS size FROM lineitem"
+
+
+@query(
+    f"""SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY l_linenumber, size, s % 10) - 1 AS INTEGER) AS block_no, size,
+      array_to_string(list_sort(list_filter(['s' || s % 10, 's' || (s + 1) % 10], lambda x: x <> 's3')), ',') AS replicas FROM ({_LOGGED})"""
+)
+def fsck_parse(spark, sf_dir):
+    """A check log of all orders' blocks, written and read back; the server of one address is unknown."""
+    item = Cluster(spark, sf_dir).table("lineitem")
+    address = "concat('10.0.0.', {} % 10, ':50010')"
+    blocks = item.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("size"), F.expr(f"concat('[', {address.format('l_suppkey')}, ', ', {address.format('(l_suppkey + 1)')}, ']')").alias("at"))
+    listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "size", "at")))
+    per_file = blocks.groupBy("l_orderkey").agg(listed.alias("b"), F.sum("size").alias("bytes"))
+    lines = F.transform("b", lambda x, k: F.format_string("%d. blk_%d len=%d repl=2 %s", k, x["l_linenumber"], x["size"], x["at"]))
+    head = F.format_string("/t/%d %d bytes, %d block(s):  OK", "l_orderkey", "bytes", F.size("b"))
+    path = _folder(spark, "check-log")
+    per_file.select(F.concat(F.array_join(F.concat(F.array(head), lines), "\n"), F.lit("\n")).alias("value")).write.text(path)
+    servers = spark.range(10).where("id <> 3").select(F.concat(F.lit("10.0.0."), "id").alias("ip"), F.concat(F.lit("s"), "id").alias("server"))
+    return files.read_check_log(spark, path, servers).select("file", "block_no", "size", F.array_join("replicas", ",").alias("replicas"))
+
+
+@query(cluster_sql("SELECT 'r' || region_id AS encoded_name, size, CAST(CASE WHEN region_id % 3 = 0 THEN NULL ELSE hfiles END AS BIGINT) AS modified, server_id FROM regions WHERE table_name = 'Brand#13'"))
+def region_stats_json(spark, sf_dir):
+    """Region statistics as gzipped JSON, written and read back for one table, its name in another case."""
+    r = Cluster(spark, sf_dir).regions
+    info = F.struct(F.col("table_name"), F.concat(F.lit("r"), "region_id").alias("encoded_name"), F.lit(None).cast("binary").alias("start_key"), F.lit(None).cast("binary").alias("end_key"))
+    stats = r.select(info.alias("regionInfo"), F.col("server_id").cast("string").alias("serverName"), "size", F.when(F.col("region_id") % 3 != 0, F.col("hfiles")).alias("modificationTime"))
+    path = _folder(spark, "region-stats")
+    files.write_region_stats(stats, path, compressed=True)
+    back = files.read_region_stats(spark, path, "bRAND#13")
+    return back.select("regionInfo.encoded_name", "size", F.col("modificationTime").alias("modified"), F.col("serverName").cast("bigint").alias("server_id"))
+
+
+@query(cluster_sql("SELECT 'r' || region_id AS encoded_name, 's' || server_id AS server FROM regions WHERE region_id % 4 <> 0 UNION ALL SELECT 'r' || region_id, 's' || server_id FROM regions WHERE region_id % 4 = 0"))
+def region_list_file(spark, sf_dir):
+    """Lines of regions and servers, written, added to, and read back."""
+    r = Cluster(spark, sf_dir).regions
+    named = r.select("region_id", F.concat(F.lit("r"), "region_id").alias("encoded_name"), F.concat(F.lit("s"), "server_id").alias("server"))
+    path = _folder(spark, "region-list")
+    files.write_region_list(named.where("region_id % 4 <> 0"), path)
+    files.write_region_list(named.where("region_id % 4 = 0"), path, append=True)
+    return files.read_region_list(spark, path)
+
+
+@query(
+    cluster_sql(
+        """SELECT a.region_id, CASE WHEN a.region_id % 3 = 0 THEN a.size ELSE b.size * 2 END AS size, b.hfiles + 1 AS hfiles
+    FROM regions a LEFT JOIN (SELECT * FROM regions WHERE region_id % 5 <> 0) b USING (region_id)"""
+    )
+)
+def merged_stats(spark, sf_dir):
+    """Statistics of two sources: the left one's where it knows them."""
+    r = Cluster(spark, sf_dir).regions
+    left = r.select("region_id", F.when(F.col("region_id") % 3 == 0, F.col("size")).alias("size"))
+    right = r.where("region_id % 5 <> 0").select("region_id", (F.col("size") * 2).alias("size"), (F.col("hfiles") + 1).alias("hfiles"))
+    return annotate.merge_stats(left, right, ["region_id"], ["size", "hfiles"])
+
+
+@query("SELECT s_suppkey AS server_id, s_name AS hostname FROM supplier WHERE lower(s_name) IN (SELECT lower(min(s_name)) FROM supplier)")
+def host_any_case(spark, sf_dir):
+    s = Cluster(spark, sf_dir).servers
+    return s.where(R.same_name(F.col("hostname"), s.agg(F.min("hostname")).first()[0].swapcase()))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS n_tags, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS priority, CAST(o_custkey AS VARCHAR) AS customer FROM orders")
+def known_tags_only(spark, sf_dir):
+    o = Cluster(spark, sf_dir).table("orders")
+    tags = R.known_tags(priority=F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")), customer=F.col("o_custkey"), none=F.lit(None))
+    return o.select(F.col("o_orderkey").alias("id"), tags.alias("t")).select("id", F.size("t").alias("n_tags"), F.col("t")["priority"].alias("priority"), F.col("t")["customer"].alias("customer"))

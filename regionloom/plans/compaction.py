@@ -30,6 +30,27 @@ def compaction_plan(regions: DataFrame, *, table: str | None = None, servers: Se
     return chosen.select("server_id", F.row_number().over(queue).alias("position"), "region_id", "transfer")
 
 
+def throttled(plan: DataFrame, *, queue_size: int = 2, quiet_seconds: int = 5, kind: str = "major") -> DataFrame:
+    """The plan with ``kind``, ``after_completions`` and ``earliest_second`` of each request.
+
+    A server takes a request once so many of its earlier ones have ended, which keeps
+    its queue below ``queue_size``, and rests for ``quiet_seconds`` before each.  A
+    kind other than major, whatever its case, asks for a minor compaction.
+    """
+    return plan.withColumns(
+        {
+            "kind": F.lit("major" if kind.lower() == "major" else "minor"),
+            "after_completions": F.greatest(F.col("position") - queue_size, F.lit(0)).cast("bigint"),
+            "earliest_second": (F.col("position") * quiet_seconds).cast("bigint"),
+        }
+    )
+
+
+def not_listed(regions: DataFrame, listed: DataFrame) -> DataFrame:
+    """Regions that a list does not name."""
+    return regions.join(listed.select("region_id").distinct(), "region_id", "left_anti")
+
+
 def listed_regions(regions: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Regions that a list names, and the names that no region has."""
     names = listed.select("region_id").distinct()

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.regions import locality
 from ..operators.annotate import transfer_costs
+from .numbering import numbered
 
 
 def transition_budget(max_time_millis: int = 600_000, per_minute: int = 75) -> int:
@@ -36,13 +38,30 @@ def transition_report(plan: DataFrame, regions: DataFrame) -> DataFrame:
     return plan.join(r, "region_id").select("region_id", "table_name", "from_server", "to_server", "size").orderBy("region_id")
 
 
-def schedule(plan: DataFrame, per_minute: int = 75) -> DataFrame:
-    """The plan with the minute in which each move may start, in order of region.
+def schedule(plan: DataFrame, per_minute: int = 75, max_transitions: int = 5) -> DataFrame:
+    """The plan with ``minute`` and ``after_completions``, for moves in order of region.
 
-    Numbers are given range by range: the plan is bounded by its budget.
+    A move starts in its minute at the earliest, and not before so many moves have
+    ended, which keeps fewer than ``max_transitions`` others in flight.
     """
-    n = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("region_id"))
-    return plan.withColumn("minute", F.floor((n - 1) / per_minute).cast("bigint"))
+    rows = numbered(plan, "__n", "region_id")
+    room = F.greatest(F.col("__n") - max_transitions + 1, F.lit(0))
+    return rows.withColumn("minute", F.floor(F.col("__n") / per_minute).cast("bigint")).withColumn("after_completions", room.cast("bigint")).drop("__n")
+
+
+def transition_room(planned: DataFrame, in_transition: DataFrame, max_transitions: int = 5) -> DataFrame:
+    """One row ``in_flight, room``: how many planned regions are in transition now, and whether another may follow."""
+    flying = moves_in_transition(planned, in_transition).agg(F.count("*").alias("in_flight"))
+    return flying.withColumn("room", F.col("in_flight") < max_transitions)
+
+
+def compacted_after(plan: DataFrame, regions: DataFrame, blocks: DataFrame, threshold: float | None = None) -> DataFrame:
+    """The plan with ``compact``: whether a region is to be compacted where it goes, its locality there not above the threshold."""
+    placed = plan.join(regions.select("region_id", "size"), "region_id").withColumn("server_id", F.col("to_server"))
+    there = transfer_costs(blocks, placed).select("region_id", F.col("server_id").alias("to_server"), "transfer")
+    share = locality(F.coalesce("size", F.lit(0)), F.coalesce("transfer", F.lit(0)))
+    local = placed.join(there, ["region_id", "to_server"], "left").select("region_id", (share <= (1.0 if threshold is None else threshold)).alias("compact"))
+    return plan.join(local, "region_id")
 
 
 def moves_in_transition(planned: DataFrame, in_transition: DataFrame) -> DataFrame:
@@ -61,9 +80,10 @@ def drain(regions: DataFrame, servers: DataFrame, listed: Sequence, *, order: Co
     n = others.count()
     if n == 0 or servers.where(on).isEmpty():
         raise ValueError("some, not all, of the listed servers must be known")
-    turn = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order if order is not None else F.col("region_id"), "region_id")) - 1
-    leaving = regions.where(on).select("region_id", F.col("server_id").alias("from_server"), (turn % n).alias("turn"))
-    ranked = others.select(F.col("server_id").alias("to_server"), (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("server_id")) - 1).alias("turn"))
+    queue = [order, "region_id"] if order is not None else ["region_id"]
+    leaving = numbered(regions.where(on).select("region_id", F.col("server_id").alias("from_server"), *([order.alias("__order")] if order is not None else [])), "turn", *["__order" if x is order else x for x in queue])
+    leaving = leaving.select("region_id", "from_server", (F.col("turn") % n).alias("turn"))
+    ranked = numbered(others.select(F.col("server_id").alias("to_server")), "turn", "to_server")
     return leaving.join(ranked, "turn").select("region_id", "from_server", "to_server")
 
 

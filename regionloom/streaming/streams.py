@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
 
 from ..functions.regions import compact_label, known_tags, region_encoded, region_table
 from ..operators import sketches
+from ..plans.numbering import numbered
 from ..schema import REGION_LOAD_METRICS
 
 
@@ -18,12 +18,14 @@ def region_gauges(region_load: DataFrame) -> DataFrame:
     """``metric, value, ts, tags, label``: a point per region and metric of each snapshot."""
     table, region = region_table(F.col("region_name")), region_encoded(F.col("region_name"))
     points = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in REGION_LOAD_METRICS])
-    return region_load.select(
-        F.explode(points).alias("p"),
+    # names are read once a snapshot, before it becomes a row per metric
+    named = region_load.select(
+        points.alias("points"),
         F.col("snapshot_ts").alias("ts"),
         known_tags(server=F.col("server"), table=table, region=region).alias("tags"),
         compact_label(table, region).alias("label"),
-    ).select("p.metric", "p.value", "ts", "tags", "label")
+    )
+    return named.select("ts", "tags", "label", F.inline("points")).select("metric", "value", "ts", "tags", "label")
 
 
 def locality_gauge(regions: DataFrame, ts) -> DataFrame:
@@ -37,8 +39,8 @@ def left_transition(polls: DataFrame) -> DataFrame:
 
     The last poll's regions are still in transition.
     """
-    following = Window.partitionBy(F.lit(1)).orderBy("poll_id")
-    ids = polls.select("poll_id").distinct().withColumn("next_id", F.lead("poll_id").over(following)).where("next_id is not null")
+    ids = numbered(polls.select("poll_id").distinct(), "n", "poll_id")
+    ids = ids.join(ids.select(F.col("poll_id").alias("next_id"), (F.col("n") - 1).alias("n")), "n").drop("n")
     gone = polls.join(ids, "poll_id").select(F.col("next_id").alias("poll_id"), "region")
     return gone.join(polls.select("poll_id", "region"), ["poll_id", "region"], "left_anti")
 

@@ -1,6 +1,7 @@
 """Golden cases and properties of the engine's own operators."""
 
 import math
+import time
 from datetime import datetime
 
 import numpy as np
@@ -12,6 +13,7 @@ from regionloom.functions import keys as K
 from regionloom.functions import regions as R
 from regionloom.operators import annotate, cost, report, sketches
 from regionloom.plans import balance, merge, moves
+from regionloom.plans.numbering import numbered
 from regionloom.schema import NO_TIME
 from regionloom.sources import files, tables
 from regionloom.sources.testdata import Cluster
@@ -347,6 +349,90 @@ def test_options(spark):
         jobs.run("noSuchJob", None)
 
 
+def test_options_that_a_job_would_not_heed_are_refused():
+    with pytest.raises(ValueError, match="actuallyRun"):
+        jobs.run("flushTables", None, actuallyRun=True)
+    with pytest.raises(ValueError, match="factor, source"):
+        jobs.run("majorCompactTable", None, factor=3, source="h", table="t")
+    assert set(jobs.HEEDED) == set(jobs.JOBS | jobs.DAEMONS) and set().union(*jobs.HEEDED.values()) | {"actuallyRun"} == set(jobs.Options.__dataclass_fields__)
+
+
+def test_jobs_heed_their_options(spark, tmp_path):
+    c = Cluster(spark, SF)
+    hosts = {r["server_id"]: r["hostname"] for r in c.servers.collect()}
+    ctx = jobs.Context(c.regions, c.servers, c.blocks, c.metrics, c.ranges)
+    got = jobs.run("displayRegionStats", ctx, serverName=hosts[1].upper(), table="brand#11", outputFileName=str(tmp_path / "stats.gz"))
+    assert {r["grouping"] for r in got.select("grouping").distinct().collect()} == {"table", "server", "region", "server region"}
+    assert spark.read.json(str(tmp_path / "stats.gz")).count() == c.regions.count() and any(p.suffix == ".gz" for p in (tmp_path / "stats.gz").iterdir())
+
+    cut = {"costFunction": '{"DataSizeCost": 1000}', "optimizationTimeSeconds": 1}
+    offline, direct = (jobs.run("runCustomBalancer", ctx, **cut, **more) for more in ({"inputFileName": str(tmp_path / "stats.gz")}, {}))
+    assert sorted(map(str, offline.collect())) == sorted(map(str, direct.collect()))
+
+    asked = jobs.run("majorCompactServers", ctx, serverName=hosts[1], compactionQueueSize=3, compactionQuietTimeSeconds=7, compactionType="MINOR").orderBy("position").collect()
+    assert [(r["kind"], r["after_completions"], r["earliest_second"]) for r in asked[:5]] == [("minor", 0, 7), ("minor", 0, 14), ("minor", 0, 21), ("minor", 1, 28), ("minor", 2, 35)]
+
+    moved = jobs.run("gracefulShutdown", ctx, serverName=hosts[0], maxTransitions=4, maxTransitionsPerMinute=3, compactPostMove=True, compactThreshold=0.2).orderBy("region_id").collect()
+    assert [(r["minute"], r["after_completions"]) for r in moved[:6]] == [(0, 0), (0, 0), (0, 0), (1, 0), (1, 1), (1, 2)]
+    size = {r["region_id"]: r["size"] for r in c.regions.collect()}
+    held = {}
+    for b in c.blocks.collect():
+        for server in b["replicas"]:
+            held[b["region_id"], server] = held.get((b["region_id"], server), 0) + b["size"]
+    for r in moved:
+        share = held.get((r["region_id"], r["to_server"]), 0) / size[r["region_id"]] if size[r["region_id"]] else 1
+        assert r["compact"] == (share <= 0.2), r
+
+    four = c.regions.where(f"server_id <> {min(hosts)}").limit(4).collect()
+    to = spark.createDataFrame([(str(r["region_id"]), hosts[min(hosts)]) for r in four], "encoded_name string, server string")
+    files.write_region_list(to, str(tmp_path / "list"))
+    assert jobs.run("compactRegionsFromFile", ctx, inputFileName=str(tmp_path / "list")).count() == 4
+    loaded = jobs.run("gracefulLoad", ctx, inputFileName=str(tmp_path / "list")).collect()
+    assert {(r["region_id"], r["from_server"], r["to_server"]) for r in loaded} == {(r["region_id"], r["server_id"], min(hosts)) for r in four}
+    with pytest.raises(ValueError, match="either a file or a server"):
+        jobs.run("gracefulLoad", ctx, inputFileName=str(tmp_path / "list"), serverName=hosts[5])
+
+
+def test_daemon_plans_again_and_again(spark, tmp_path):
+    c = Cluster(spark, SF)
+    regions = c.regions.where("region_id < 60")
+    calls = []
+
+    def now():
+        calls.append(1)
+        return jobs.Context(regions, c.servers)
+
+    options = jobs.options(outputFileName=str(tmp_path / "plans"), optimizationTimeSeconds=1, costFunction='{"DataSizeCost": 1000}')
+    query = jobs.run_custom_balancer_daemon(now, options, every="1 second")
+    try:
+        deadline = time.time() + 120
+        while time.time() < deadline and len(list((tmp_path / "plans").glob("plan=*/_SUCCESS"))) < 2:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert len(calls) >= 2 and spark.read.parquet(str(tmp_path / "plans" / "plan=0")).count() > 0
+    with pytest.raises(ValueError, match="outputFileName"):
+        jobs.run("runCustomBalancerDaemon", jobs.Context(regions, c.servers))
+
+
+def test_numbers_over_ranges(spark):
+    rows = spark.range(10_000).select((F.col("id") * 7919 % 10_007).alias("k"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("s")).repartition(5)
+    for order in ("k", "s"):
+        got = [r["n"] for r in numbered(rows, "n", order).orderBy(order).collect()]
+        assert got == list(range(10_000))
+    assert [r["n"] for r in numbered(rows.limit(3), "n", "k").orderBy("k").collect()] == [0, 1, 2]
+    some = spark.createDataFrame([(None, 2), (None, 1), (5, 0), (3, 9)], "k int, t int")
+    assert {(r["k"], r["t"]): r["n"] for r in numbered(some, "n", "k", "t").collect()} == {(None, 1): 0, (None, 2): 1, (3, 9): 2, (5, 0): 3}
+    assert numbered(some.limit(0), "n", "k").count() == 0
+
+
+def test_a_search_says_what_it_does_not_take(spark, monkeypatch):
+    c = Cluster(spark, SF)
+    monkeypatch.setattr(balance, "MOST_REGIONS", 10)
+    with pytest.raises(ValueError, match="table by table"):
+        balance.balance(c.regions, c.servers)
+
+
 def test_every_job_gives_rows(spark):
     c = Cluster(spark, SF)
     hosts = {r["server_id"]: r["hostname"] for r in c.servers.collect()}
