@@ -28,10 +28,15 @@ def test_stages(spark):
     scores = {r["doc_id"]: r["predicted"] for r in quality.score_quality(docs, labels).collect()}
     assert ids(good) == Counter(i for i, p in scores.items() if p == 1)
 
-    fps = [(r["doc_id"], simhash.fingerprint(r["text"])) for r in good.collect()]
+    fps = [(r["doc_id"], (simhash.fingerprint(r["text"]), *(v & (2**64 - 1) for v in simhash.similar_views(r["text"])))) for r in good.collect()]
+
+    def near(x, y):
+        f, a, b, *g = (p ^ q for p, q in zip(x, y, strict=True))
+        return f.bit_count() <= 4 or (min(a.bit_count(), b.bit_count()) <= 4 and sum(h.bit_count() for h in g) <= 22)
+
     stay, groups = set(), []
     for i, f in sorted(fps):
-        hit = [g for g in groups if any((f ^ x).bit_count() <= 4 for _, x in g)]
+        hit = [g for g in groups if any(near(f, x) for _, x in g)]
         groups = [g for g in groups if g not in hit] + [[(i, f), *(m for g in hit for m in g)]]
     stay = {min(i for i, _ in g) for g in groups}
     assert set(ids(single)) == stay

@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_intdigest, xxh64_intdigest
 
 from regionloom.llm import components, simhash
 
@@ -36,6 +36,67 @@ def plain_components(rows):
     return [(i, f"{f:016x}", least.get(root(f))) for i, f in rows]
 
 
+def plain_views(text):
+    """Two word-set fingerprints and the 128 bits of the five-word shingles', by counting each bit."""
+    words = (text or "").encode().lower().split()
+
+    def bits(features):
+        hashes = [xxh3_128_intdigest(f) for f in features]
+        return sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    w = bits(set(words))
+    return w >> 64, w & (2**64 - 1), bits([b" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))] if words else [])
+
+
+def plain_groups(texts):
+    """Groups of texts under the links of fingerprints and of similar views, over all pairs."""
+    known = [(plain_fingerprint(t), *plain_views(t)) for t in texts]
+    group = list(range(len(texts)))
+    for i, (f, a, b, g) in enumerate(known):
+        for j, (f2, a2, b2, g2) in enumerate(known[:i]):
+            near = (f ^ f2).bit_count() <= 4 or (min((a ^ a2).bit_count(), (b ^ b2).bit_count()) <= 4 and (g ^ g2).bit_count() <= 22)
+            if near and group[i] != group[j]:
+                group = [group[j] if x == group[i] else x for x in group]
+    return group
+
+
+def edited(rng, text, share):
+    words = text.split()
+    for _ in range(int(len(words) * share)):
+        words[rng.integers(len(words))] = f"new{rng.integers(10**6)}"
+    return " ".join(words)
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+def test_similar_texts_are_one_group(spark, real):
+    rng = np.random.default_rng(5)
+    long = [t for _, t, _ in real if t and 80 < len(t.split()) < 400][:60]
+    texts = [t or "" for _, t, _ in real] + [edited(rng, t, s) for t in long for s in (0.01, 0.02, 0.1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one_per_group(docs).collect()}
+    groups = plain_groups(texts)
+    first = {}
+    for i, g in enumerate(groups):
+        first.setdefault(g, i)
+    # a fingerprint's texts go by one view, so texts whose fingerprints are equal may be read as each other
+    assert len(kept ^ set(first.values())) <= 1
+    pairs = [(i, j) for k, t in enumerate(long) for i in [texts.index(t)] for j in range(len(real) + 3 * k, len(real) + 3 * k + 2)]
+    alike = [(i, j) for i, j in pairs if len(shingles(texts[i]) & shingles(texts[j])) >= 0.8 * len(shingles(texts[i]) | shingles(texts[j]))]
+    assert len(alike) > 80 and np.mean([groups[i] == groups[j] for i, j in alike]) >= 0.9
+    narrow = {r["doc_id"] for r in simhash.keep_one_per_group(docs, similar=False).collect()}
+    assert kept < narrow
+
+
+def test_views():
+    for t in (None, "", " \n", "one", "one two three four", "A b a B  c d e f", "w " * 3000, " ".join(f"x{i % 37}" for i in range(900))):
+        a, b, g = plain_views(t)
+        assert [v & (2**64 - 1) for v in simhash.similar_views(t)] == [a, b, g >> 64, g & (2**64 - 1)]
+
+
 def order(rows):
     return sorted(map(tuple, rows), key=str)
 
