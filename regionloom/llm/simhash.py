@@ -54,7 +54,8 @@ MOST_FOR_TWO_LINKS, REFINED_FROM = 1 << 27, 2048
 
 #: Fingerprints of the word set; bits of the five-word shingles' fingerprint, and how many may differ.  Two texts
 #: of Jaccard similarity J have shingle sets at the angle acos(2 J / (1 + J)): 19.3 of 128 bits at 0.8, deviation 4.
-WORD_VIEWS, SIMILAR_SHINGLE, SIMILAR_BITS, SIMILAR_WITHIN = 2, 5, 128, 22
+WORD_VIEWS, SIMILAR_SHINGLE, SIMILAR_BITS, SIMILAR_WITHIN = 4, 5, 128, 23
+_VIEWS = [f"w{k}" for k in range(WORD_VIEWS)] + ["g0", "g1"]
 
 #: Shingles hashed at once, so that a very long text needs bounded memory.
 _CHUNK = 1 << 16
@@ -85,39 +86,39 @@ def fingerprint(text: str | None, *, shingle: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def _majority(features: Iterable[bytes], n: int) -> list[int]:
+def _majority(features: Iterable[bytes], n: int, seed: int = 0) -> list[int]:
     """Two 64-bit halves: the bits that over half of ``n`` features' 128-bit hashes have."""
     from xxhash import xxh3_128_digest
 
-    ones, hashed = np.zeros(128, dtype=np.int64), map(xxh3_128_digest, features)
+    ones, hashed = np.zeros(128, dtype=np.int64), (xxh3_128_digest(f, seed) for f in features)
     while chunk := b"".join(islice(hashed, _CHUNK)):
         ones += np.unpackbits(np.frombuffer(chunk, dtype=np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
     return np.packbits(ones * 2 > n).view(">i8").tolist()
 
 
 def similar_views(text: str | None) -> list[int]:
-    """``w0, w1, g0, g1`` of a text, lower-cased as its fingerprint is: two of its word set, two halves of its five-word shingles'.
+    """`_VIEWS` of a text, lower-cased as its fingerprint is: those of its word set, and two halves of its five-word shingles'.
 
     No word gives zeros; fewer words than a shingle are one shingle.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [0, 0, 0, 0]
+        return [0] * len(_VIEWS)
     known = set(words)
     n = max(len(words) - SIMILAR_SHINGLE + 1, 1)
     joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]).tolist()
     shingles = (joined[a : b - 1] for a, b in zip([0, *ends], ends[min(SIMILAR_SHINGLE, len(words)) - 1 :], strict=False))
-    return [*_majority(known, len(known)), *_majority(shingles, n)]
+    return [*(w for seed in range(WORD_VIEWS // 2) for w in _majority(known, len(known), seed)), *_majority(shingles, n)]
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, similar: bool = False) -> DataFrame:
     """``doc_id, fp`` (the fingerprint's bits as a signed long): one row per input row.
 
-    With ``similar`` also ``key``, a hash of the text, and the views of `similar_views`: ``w0, w1, g0, g1``.
+    With ``similar`` also ``key``, a hash of the text, and the views of `similar_views`.
     """
 
     shipping.ship(docs.sparkSession)
-    names = ["fp", "w0", "w1", "g0", "g1"] if similar else ["fp"]
+    names = ["fp", *_VIEWS] if similar else ["fp"]
 
     @F.pandas_udf(", ".join(f"{n} long" for n in names))
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -297,6 +298,19 @@ def fingerprint_links(distinct: DataFrame, links: int | None = None) -> DataFram
     return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(links_by_key(links), "a long, b long")
 
 
+def similar_links(rows: DataFrame) -> DataFrame:
+    """Links ``a, b`` between ``name`` of ``rows(fp, name, g0, g1)`` that connect what is within distance 4 and similar.
+
+    Most fingerprints have no other near them.  The few that have are found first,
+    without names and halves, and only they are searched again with these.
+    """
+    of_fp = rows.groupBy("fp").agg(F.count("*").alias("n"))
+    near = fingerprint_links(of_fp.select("fp"))
+    some = of_fp.where("n > 1").select("fp").union(near.select("a")).union(near.select("b")).distinct()
+    some = store.keep(rows.join(some, "fp", "left_semi"), "near-others")
+    return fingerprint_links(some)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``.
 
@@ -320,11 +334,11 @@ def least_of_component(docs_fp: DataFrame, value: Column) -> DataFrame:
     those of one fingerprint are represented by their least view.
     """
     similar = "w0" in docs_fp.columns
-    view = [F.min(F.struct("w0", "w1", "g0", "g1")).alias("view")] if similar else []
+    view = [F.min(F.struct(*_VIEWS)).alias("view")] if similar else []
     distinct = store.keep(docs_fp.groupBy("fp").agg(F.min(value).alias("least"), *view), "distinct-fingerprints")
     links = fingerprint_links(distinct.select("fp"))
     for k in range(WORD_VIEWS if similar else 0):
-        links = links.unionByName(fingerprint_links(distinct.select(F.col(f"view.w{k}").alias("fp"), F.col("fp").alias("name"), "view.g0", "view.g1")))
+        links = links.unionByName(similar_links(distinct.select(F.col(f"view.w{k}").alias("fp"), F.col("fp").alias("name"), "view.g0", "view.g1")))
     links = store.keep(links, "links")
     roots = components.connected_components(links)
     tied = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -31,8 +31,8 @@ def test_stages(spark):
     fps = [(r["doc_id"], (simhash.fingerprint(r["text"]), *(v & (2**64 - 1) for v in simhash.similar_views(r["text"])))) for r in good.collect()]
 
     def near(x, y):
-        f, a, b, *g = (p ^ q for p, q in zip(x, y, strict=True))
-        return f.bit_count() <= 4 or (min(a.bit_count(), b.bit_count()) <= 4 and sum(h.bit_count() for h in g) <= 22)
+        f, *w, g0, g1 = ((p ^ q).bit_count() for p, q in zip(x, y, strict=True))
+        return f <= 4 or (min(w) <= 4 and g0 + g1 <= 23)
 
     stay, groups = set(), []
     for i, f in sorted(fps):

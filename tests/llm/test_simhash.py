@@ -37,24 +37,24 @@ def plain_components(rows):
 
 
 def plain_views(text):
-    """Two word-set fingerprints and the 128 bits of the five-word shingles', by counting each bit."""
+    """Four word-set fingerprints and the 128 bits of the five-word shingles', by counting each bit."""
     words = (text or "").encode().lower().split()
 
-    def bits(features):
-        hashes = [xxh3_128_intdigest(f) for f in features]
+    def bits(features, seed=0):
+        hashes = [xxh3_128_intdigest(f, seed) for f in features]
         return sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
-    w = bits(set(words))
-    return w >> 64, w & (2**64 - 1), bits([b" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))] if words else [])
+    v, w = bits(set(words)), bits(set(words), 1)
+    return (v >> 64, v & (2**64 - 1), w >> 64, w & (2**64 - 1)), bits([b" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))] if words else [])
 
 
 def plain_groups(texts):
     """Groups of texts under the links of fingerprints and of similar views, over all pairs."""
     known = [(plain_fingerprint(t), *plain_views(t)) for t in texts]
     group = list(range(len(texts)))
-    for i, (f, a, b, g) in enumerate(known):
-        for j, (f2, a2, b2, g2) in enumerate(known[:i]):
-            near = (f ^ f2).bit_count() <= 4 or (min((a ^ a2).bit_count(), (b ^ b2).bit_count()) <= 4 and (g ^ g2).bit_count() <= 22)
+    for i, (f, w, g) in enumerate(known):
+        for j, (f2, w2, g2) in enumerate(known[:i]):
+            near = (f ^ f2).bit_count() <= 4 or ((g ^ g2).bit_count() <= 23 and min((a ^ b).bit_count() for a, b in zip(w, w2)) <= 4)
             if near and group[i] != group[j]:
                 group = [group[j] if x == group[i] else x for x in group]
     return group
@@ -93,8 +93,8 @@ def test_similar_texts_are_one_group(spark, real):
 
 def test_views():
     for t in (None, "", " \n", "one", "one two three four", "A b a B  c d e f", "w " * 3000, " ".join(f"x{i % 37}" for i in range(900))):
-        a, b, g = plain_views(t)
-        assert [v & (2**64 - 1) for v in simhash.similar_views(t)] == [a, b, g >> 64, g & (2**64 - 1)]
+        w, g = plain_views(t)
+        assert [v & (2**64 - 1) for v in simhash.similar_views(t)] == [*w, g >> 64, g & (2**64 - 1)]
 
 
 def order(rows):
