@@ -10,8 +10,8 @@ template of their width are verified: the exact share of the template's shingles
 which the window holds decides.
 
 A window can hold 0.8 of a template only if it holds one of its shingles at least.
-Windows are therefore made around the positions where a text has a shingle of any
-template, an exact saving: texts without any end after one scan.
+Windows of a length are therefore made around the positions where a text has a
+shingle of a template of that length, an exact saving: texts without any end after one scan.
 
 Everything is built-in functions.  The templates are a fixed list, so the tables
 that are broadcast (a row per template and band) don't grow with the corpus.
@@ -33,7 +33,8 @@ BANDS, ROWS = 40, 2
 #: Of a template and a window of its width that holds 0.8 of it, over all lengths: 0.8 / (1 + 1.25 - 0.8).
 LEAST_JACCARD = 0.55
 
-#: Notices by license (fixed values, public texts).
+#: Notices, tags and sentences of full texts by license (fixed values, public texts).  A text that holds a whole
+#: license holds its sentences, so licenses are found by these and not by their full length.
 TEMPLATES: Mapping[str, tuple[str, ...]] = {
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -41,24 +42,99 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+        "SPDX-License-Identifier: Apache-2.0",
     ),
     "mit": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
         "(the \"Software\"), to deal in the Software without restriction",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "SPDX-License-Identifier: MIT",
     ),
     "gpl-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
         "as published by the Free Software Foundation, either version 3 of the License",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "SPDX-License-Identifier: GPL-3.0",
+    ),
+    "gpl-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+        "as published by the Free Software Foundation; either version 2 of the License",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "SPDX-License-Identifier: GPL-2.0",
+    ),
+    "lgpl-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation; either version 2.1 of the License",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        "SPDX-License-Identifier: LGPL-2.1",
+    ),
+    "lgpl-3.0": (
+        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "SPDX-License-Identifier: LGPL-3.0",
+    ),
+    "agpl-3.0": (
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "SPDX-License-Identifier: AGPL-3.0",
     ),
     "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "cc-by-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "cc-by-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
+    "cc-by-sa-4.0": (
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
+    ),
+    "cc-by-sa-3.0": (
+        "Licensed under CC BY-SA 3.0.",
+        "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    ),
+    "cc-by-nd-4.0": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    "cc-by-nc-sa-4.0": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "cc0-1.0": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+        "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication",
+        "SPDX-License-Identifier: CC0-1.0",
+    ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Mozilla Public License Version 2.0 1. Definitions",
+        "SPDX-License-Identifier: MPL-2.0",
+    ),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+        "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ),
+    "bsl-1.0": ("Distributed under the Boost Software License, Version 1.0.", "Boost Software License - Version 1.0 - August 17th, 2003", "SPDX-License-Identifier: BSL-1.0"),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software.",
+        "SPDX-License-Identifier: Zlib",
     ),
-    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "all-rights-reserved": ("All rights reserved.",),
 }
 
@@ -118,15 +194,16 @@ def scan_licenses(
     # The list is fixed and small: a few values per template are read back and become literals of the plan.
     table = template_table(spark, templates).collect()
     by_width: dict[int, set[int]] = {}
+    by_length: dict[tuple[int, int], set[int]] = {}
     for t in table:
         by_width.setdefault(t["width"], set()).update(t["shingles"])
-    lengths = sorted({(t["words"], t["width"]) for t in table})
+        by_length.setdefault((t["words"], t["width"]), set()).update(t["shingles"])
 
     def hits(width: int) -> Column:
-        """Positions of a template's shingles of this width."""
+        """Positions of templates' shingles of this width, and their hashes."""
         known = sorted(by_width[width])
-        places = F.transform(shingle_hashes(F.col("tokens"), width), lambda h, i: F.when(h.isin(*known), i))
-        return F.filter(places, lambda i: i.isNotNull())
+        places = F.transform(shingle_hashes(F.col("tokens"), width), lambda h, i: F.when(h.isin(*known), F.struct(i.alias("i"), h.alias("h"))))
+        return F.filter(places, lambda x: x.isNotNull())
 
     rows = docs.select(F.col(id_col).alias("doc_id"), license_words(T.whole(F.col(text_col))).alias("tokens"))
     scanned = rows.select(
@@ -144,10 +221,11 @@ def scan_licenses(
     def starts(words: int, width: int) -> Column:
         """Window starts near the hits: every `stride` words, such that some window holds any stretch of `words`."""
         stride, length = max(words // 4, 1), words + max(words // 4, 1) - 1
+        known = sorted(by_length[words, width])
         reach = F.transform(
-            F.col(f"hits.w{width}"),
-            lambda i: F.sequence(
-                F.greatest(F.floor((i - (length - width) + stride - 1) / stride), F.lit(0)).cast("int"), F.floor(i / stride).cast("int")
+            F.filter(f"hits.w{width}", lambda x: x["h"].isin(*known)),
+            lambda x: F.sequence(
+                F.greatest(F.floor((x["i"] - (length - width) + stride - 1) / stride), F.lit(0)).cast("int"), F.floor(x["i"] / stride).cast("int")
             ),
         )
         return F.transform(
@@ -155,7 +233,7 @@ def scan_licenses(
             lambda k: F.struct(F.lit(words).alias("words"), F.lit(width).alias("width"), (k * stride).alias("start"), F.lit(length).alias("length")),
         )
 
-    windows = near.select("doc_id", "tokens", F.explode(F.concat(*[starts(n, w) for n, w in lengths])).alias("at")).select(
+    windows = near.select("doc_id", "tokens", F.explode(F.concat(*[starts(n, w) for n, w in sorted(by_length)])).alias("at")).select(
         "doc_id", "at.*", F.slice("tokens", F.col("at.start") + 1, F.col("at.length")).alias("tokens")
     )
     shingles = F.lit(None).cast("array<bigint>")
