@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from . import licenses, rules, secrets
+from . import licenses, mixing, rules, secrets
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -132,4 +132,60 @@ SELECT doc_id, license, max(share) AS containment, count(*) AS n_windows, CAST(m
 FROM shares WHERE share >= {licenses.CONTAINED} GROUP BY ALL"""
 
 
-ORACLES = {"op4_secret_scans": secret_scans(), "op5_quality_rules": quality_rules(), "op7_license_scans": license_scans()}
+def sharding_sizes() -> str:
+    return "SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, 'bytes' AS law FROM documents"
+
+
+def sharding_shards() -> str:
+    return "SELECT CAST(range AS INTEGER) AS shard, true AS gapless, true AS near FROM range(16)"
+
+
+def mixing_targets() -> str:
+    """Sources in order of their cap over their weight: capped ones come first, the rest share what these leave."""
+    return f"""
+WITH d AS (SELECT source, CAST(len({_words("coalesce(text, '')")}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size) AS size, count(*) AS n_docs FROM d GROUP BY 1),
+weighted AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w, {mixing.MOST_REPEATS} * size AS cap FROM s),
+ordered AS (
+  SELECT *, (SELECT sum(size) FROM s) - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+  FROM weighted
+),
+level AS (SELECT max(rest / weights) AS price FROM ordered WHERE rest * w <= cap * weights)
+SELECT source, CAST(size AS BIGINT) AS source_size, round(CASE WHEN rest * w > cap * weights THEN cap ELSE w * price END, 6) AS target, n_docs, CAST(0 AS BIGINT) AS n_over, true AS near
+FROM ordered, level"""
+
+
+def pii_base_counts() -> str:
+    found = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    doubled = "list_transform(range(1, len(g) + 1), lambda i: (CAST(g[len(g) + 1 - i] AS INTEGER) * (2 - i % 2)) // 10 + (CAST(g[len(g) + 1 - i] AS INTEGER) * (2 - i % 2)) % 10)"
+    fits = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(x AS HUGEINT), 0) > 255)) = 0",
+        "card": f"length(g) BETWEEN 12 AND 19 AND list_sum({doubled}) % 10 = 0",
+        "phone": "length(g) BETWEEN 9 AND 15",
+    }
+    matches = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, {_text(p)}, 0)) AS v FROM documents" for k, p in found.items())
+    verdict = " ".join(f"WHEN '{k}' THEN {c}" for k, c in fits.items())
+    return f"""
+WITH m AS (SELECT *, {digits} AS g FROM ({matches})),
+kept AS (SELECT doc_id, kind FROM m WHERE CASE kind {verdict} END)
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in found)}
+FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+ORACLES = {
+    "sharding_sizes": sharding_sizes(),
+    "sharding_shards": sharding_shards(),
+    "mixing_targets": mixing_targets(),
+    "pii_base_counts": pii_base_counts(),
+    "op4_secret_scans": secret_scans(),
+    "op5_quality_rules": quality_rules(),
+    "op7_license_scans": license_scans(),
+}

@@ -57,6 +57,37 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_personal_data(_table(spark, sf_dir, "documents"))
 
 
+# What SQL can decide of the queries above; the rest of their columns is held against brute force by tests.
+
+
+def sharding_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of `op2_sharding`: each row's size and law."""
+    return op2_sharding(spark, sf_dir).select("doc_id", "size", "law")
+
+
+def sharding_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of `op2_sharding`, by shard: whether its slots are gapless from 0, and its bytes within a largest row of the mean."""
+    slots = op2_sharding(spark, sf_dir).groupBy("shard", "slot").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("largest"))
+    shards = slots.groupBy("shard").agg(
+        ((F.min("slot") == 0) & (F.max("slot") + 1 == F.count("*")) & (F.max("n") == 1)).alias("gapless"), F.sum("bytes").alias("bytes"), F.max("largest").alias("largest")
+    )
+    whole = shards.agg(F.avg("bytes").alias("mean"), F.max("largest").alias("row"))
+    return shards.crossJoin(whole).select("shard", "gapless", (F.abs(F.col("bytes") - F.col("mean")) <= F.col("row")).alias("near"))  # beside one row
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of `op8_source_mixing`, by source: size, target, whether what is taken is within 1 % of it, and no document over three times."""
+    over = F.sum(F.when((F.col("taken") > 3 * F.col("size")) | (F.col("taken") < 0), 1).otherwise(0))
+    sums = op8_source_mixing(spark, sf_dir).groupBy("source", "source_size", "target").agg(F.count("*").alias("n_docs"), F.sum("taken").alias("taken"), over.alias("n_over"))
+    near = F.abs(F.col("taken") - F.col("target")) <= F.greatest(F.col("target") * 0.01, F.lit(1.0))
+    return sums.select("source", "source_size", F.round("target", 6).alias("target"), "n_docs", "n_over", near.alias("near"))
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of `op10_pii`: the counts of the fixed patterns."""
+    return op10_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -70,5 +101,9 @@ QUERIES: dict[str, Query] = {
         op8_source_mixing,
         op9_benchmark_decontamination,
         op10_pii,
+        sharding_sizes,
+        sharding_shards,
+        mixing_targets,
+        pii_base_counts,
     )
 }
