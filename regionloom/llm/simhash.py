@@ -18,7 +18,8 @@ finer key is used inside a task for a two-link key that many fingerprints share.
 
 Copies never meet: the search runs over distinct fingerprints.  What shares a key
 is handled as one stream sorted by key, and yields a spanning forest of the
-verified links, never all pairs.
+verified links, never all pairs.  A pair that meets under several keys is reported
+under the smallest: its two members are connected there, so no link is lost.
 
 Texts that share 0.8 of their five-word shingles mostly differ in 5 to 13 bits of
 their shingles' fingerprint, too many for a selective key, but in few bits of a
@@ -207,19 +208,48 @@ class _Members:
             ok[ok] = np.bitwise_count(self.similar[one[ok]] ^ self.similar[other[ok]]).sum(axis=1) <= SIMILAR_WITHIN
         return ok
 
-    def pairs(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
-        return np.column_stack([self.names[one], self.names[other]])
+    def pairs(self, one: np.ndarray, other: np.ndarray, keys: np.ndarray, links: int) -> np.ndarray:
+        """The names of those linked pairs that have no smaller key in common."""
+        first = smallest_in_common(self.fps[one], self.fps[other], keys, links)
+        return np.column_stack([self.names[one[first]], self.names[other[first]]])
+
+
+def smallest_in_common(one: np.ndarray, other: np.ndarray, keys: np.ndarray, links: int) -> np.ndarray:
+    """Which linked pairs, found under ``keys``, meet and are linked under no smaller key of the same kind."""
+    width = np.int64(13 * (links - 1))
+    starts = keys >> (width + 13)
+    out = np.ones(len(one), dtype=bool)
+    for start in range(SEGMENTS - 1):
+        later = np.flatnonzero(out & (starts > start))
+        out[later] = ~linked(one[later], other[later], np.full(len(later), start))
+    a, b = (_segment_at(x, starts + 1) for x in (one, other))
+    if links == 2:
+        least = a | b
+    else:
+        a, b = ((x << 13) | _segment_at(y, starts + 2) for x, y in ((a, one), (b, other)))
+        differing = a ^ b
+        low = differing & -differing
+        highest = np.left_shift(1, np.maximum(np.frexp(a.astype(float))[1] - 1, 0))
+        least = np.where(differing == 0, np.minimum(a, a ^ highest), np.where(differing == low, np.minimum(a, b), np.minimum(a ^ low, a ^ differing ^ low)))
+    return out & (least == keys & ((np.int64(1) << width) - 1))
+
+
+def _segment_at(fps: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Segment number ``k`` (on the ring) of each fingerprint, as a signed number."""
+    k = k % SEGMENTS
+    return ((fps & _MASKS[k]) >> np.array(OFFSETS, dtype=np.uint64)[k]).astype(np.int64)
 
 
-def _forest(members: _Members, start: int) -> np.ndarray:
+def _forest(members: _Members, key: int, links: int) -> np.ndarray:
     """Pairs that connect what verified links connect among the members of one key."""
+    start = key >> (26 if links == 2 else 39)
     rest, out = np.arange(len(members.fps)), []
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             node = np.full(len(rest), queue.pop())
             found = members.linked(node, rest, np.full(len(rest), start))
-            out.append(members.pairs(node[found], rest[found]))
+            out.append(members.pairs(node[found], rest[found], np.full(int(found.sum()), key), links))
             queue += list(rest[found])
             rest = rest[~found]
     return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
@@ -243,15 +273,15 @@ def _links(keys: np.ndarray, members: _Members, links: int) -> list[np.ndarray]:
                 for j in range(i + 1, size):
                     ok = members.linked(at + i, at + j, starts[at])
                     if ok.any():
-                        out.append(members.pairs(at[ok] + i, at[ok] + j))
+                        out.append(members.pairs(at[ok] + i, at[ok] + j, keys[at[ok]], links))
     for at, size in zip(first[sizes > 16], sizes[sizes > 16], strict=True):
-        those, start = members.at(np.arange(at, at + size)), int(starts[at])
+        those, key = members.at(np.arange(at, at + size)), int(keys[at])
         if links == 2 and size >= REFINED_FROM:
-            finer, owners = keys_from(those.fps, start, 3)
+            finer, owners = keys_from(those.fps, key >> 26, 3)
             order = np.argsort(finer, kind="stable")
             out += _links(finer[order], those.at(owners[order]), 3)
         else:
-            out.append(_forest(those, start))
+            out.append(_forest(those, key, links))
     return out
 
 
@@ -306,7 +336,7 @@ def similar_links(rows: DataFrame) -> DataFrame:
     """
     of_fp = rows.groupBy("fp").agg(F.count("*").alias("n"))
     near = fingerprint_links(of_fp.select("fp"))
-    some = of_fp.where("n > 1").select("fp").union(near.select("a")).union(near.select("b")).distinct()
+    some = of_fp.where("n > 1").select("fp").union(near.select(F.explode(F.array("a", "b")))).distinct()
     some = store.keep(rows.join(some, "fp", "left_semi"), "near-others")
     return fingerprint_links(some)
 
