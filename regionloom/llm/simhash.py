@@ -397,7 +397,8 @@ def keep_one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def same(names: DataFrame) -> Column:
         return docs[id_col].eqNullSafe(names["__id"]) & (F.xxhash64(T.whole(docs[text_col])) == names["__key"])
 
-    once = docs.join(marked, same(marked), "left_anti")
+    # The list grows with the corpus, so it is never broadcast, not even where it happens to be small.
+    once = docs.join(marked.hint("merge"), same(marked), "left_anti")
     repeated = marked.where("__first")
     if repeated.isEmpty():
         return once
