@@ -910,18 +910,15 @@ def locality_gauges(spark, sf_dir):
 def annealing_plan(spark, sf_dir):
     """Moves of the best of eight chains under the default weights; tests hold it to its budget and its costs."""
     c = Cluster(spark, sf_dir)
-    n = c.n_servers
-    held = annotate.transfer_costs(c.blocks, c.blocks.select("region_id", F.explode("replicas").alias("server_id")).distinct().where(F.col("server_id") < n))
-    return search.balance(c.regions, c.servers, ranges=c.ranges, transfer=held, chains=8)
+    return search.balance(c.regions, c.servers, ranges=c.ranges, blocks=c.blocks, chains=8)
 
 
 @query()
 def annealing_moves_hold(spark, sf_dir):
     """What any plan of the search must be: within budget, from where regions are, a move each, cheaper, and as dear as the cost operators say."""
     c = Cluster(spark, sf_dir)
-    n, budget = c.n_servers, 200
-    held = annotate.transfer_costs(c.blocks, c.blocks.select("region_id", F.explode("replicas").alias("server_id")).distinct().where(F.col("server_id") < n))
-    plan = search.balance(c.regions, c.servers, ranges=c.ranges, transfer=held, chains=2, steps=300, budget=budget)
+    budget = 200
+    plan = search.balance(c.regions, c.servers, ranges=c.ranges, blocks=c.blocks, chains=2, steps=300, budget=budget)
     found = plan.collect()  # at most the budget
     rows = spark.createDataFrame([(r["region_id"], r["from_server"], r["to_server"]) for r in found], "region_id long, from_server long, to_server long")
     told = rows.join(c.regions.select("region_id", "server_id"), "region_id", "left").join(c.servers.select(F.col("server_id").alias("to_server"), F.lit(True).alias("is_server")), "to_server", "left")

@@ -150,9 +150,6 @@ def display_region_stats(c: Context, o: Options) -> DataFrame:
 
 
 def run_custom_balancer(c: Context, o: Options) -> DataFrame:
-    held = None
-    if c.blocks is not None:
-        held = annotate.transfer_costs(c.blocks, c.blocks.select("region_id", F.explode("replicas").alias("server_id")).distinct())
     migrating = o.perturber == "MigrationPerturber"
     if migrating:
         at_most_one("name either a source or a target", o.source, o.serverName)
@@ -164,7 +161,7 @@ def run_custom_balancer(c: Context, o: Options) -> DataFrame:
         c.servers,
         weights=o.weights,
         ranges=c.ranges,
-        transfer=held,
+        blocks=c.blocks,
         budget=o.budget,
         steps=100 * o.optimizationTimeSeconds,
         stagnate=o.stagnateIterations,

@@ -433,6 +433,29 @@ def test_a_search_says_what_it_does_not_take(spark, monkeypatch):
         balance.balance(c.regions, c.servers)
 
 
+def test_a_search_that_looks_transfers_up_finds_the_same(spark, monkeypatch):
+    c = Cluster(spark, SF)
+    held = annotate.transfer_costs(c.blocks, c.blocks.select("region_id", F.explode("replicas").alias("server_id")).distinct())
+    options = {"weights": {"DataSizeCost": 1000.0, "LocalityCost": 7500.0}, "budget": 60, "chains": 3, "steps": 150, "seed": 5}
+    whole = {tuple(r) for r in balance.balance(c.regions, c.servers, transfer=held, **options).collect()}
+    runs, chains = [], balance._chains
+    monkeypatch.setattr(balance, "MOST_HOLDINGS", 0)
+    monkeypatch.setattr(balance, "_chains", lambda *given: runs.append(given[2]) or chains(*given))
+    for given in ({"transfer": held}, {"blocks": c.blocks}):
+        runs.clear()
+        assert {tuple(r) for r in balance.balance(c.regions, c.servers, **given, **options).collect()} == whole
+        assert len(runs) > 1  # some pairs were taken wrongly at first
+    assert whole
+
+
+def test_gaps_at_once_are_those_of_each_group():
+    p = problem(n=400, servers=7)
+    p.initial = np.random.default_rng(4).integers(0, 7, 400)
+    s = balance.State(p)
+    assert [s.gaps[t, k] for t in range(4) for k in range(7)] == pytest.approx([s._gap(t, k) for t in range(4) for k in range(7)])
+    assert s.gaps.sum() > 0
+
+
 def test_every_job_gives_rows(spark):
     c = Cluster(spark, SF)
     hosts = {r["server_id"]: r["hostname"] for r in c.servers.collect()}
