@@ -241,6 +241,19 @@ def test_incremental_costs_are_the_whole_costs():
         assert s.server_costs(table) == pytest.approx(whole.server_costs(table))
 
 
+def test_few_moves_of_many_regions_pay_for_themselves():
+    n, servers, none = 50_000, 500, np.zeros(50_000)
+    rng = np.random.default_rng(6)
+    size, table, initial = rng.integers(1, 50, n).astype(float), rng.integers(0, 4, n), rng.integers(0, servers // 18, n)
+    p = balance.Problem(size, none, table, none, none, initial, servers, {"DataSizeCost": 1000.0, "TransitionCost": 2000.0}, budget=20)
+    for seed in range(2):
+        best, found, first, _ = balance.anneal(p, steps=80, seed=seed)
+        fresh = balance.State(p)
+        for r in np.flatnonzero(best != p.initial):
+            fresh.move(int(r), int(best[r]))
+        assert found < first and 0 < fresh.moved < 20 and fresh.cost() == pytest.approx(found, abs=1e-9)
+
+
 def test_acceptance_and_temperature():
     assert balance.accept(1, 1, 0, 0.9) and not balance.accept(1, 2, 0, 0.0)
     assert balance.accept(1, 2, 1, 0.26) and not balance.accept(1, 2, 1, 0.27)
