@@ -461,6 +461,18 @@ def test_a_search_that_looks_transfers_up_finds_the_same(spark, monkeypatch):
     assert whole
 
 
+def test_a_search_collects_no_transfers_of_other_regions(spark, monkeypatch):
+    c = Cluster(spark, SF)
+    held = annotate.transfer_costs(c.blocks, c.blocks.select("region_id", F.explode("replicas").alias("server_id")).distinct())
+    mine, here = c.regions.where("region_id < 20"), c.servers.where("server_id < 7")
+    seen, placed = [], balance._placed
+    monkeypatch.setattr(balance, "_placed", lambda rows, *names: seen.append({tuple(r.values()) for r in rows.to_pylist()}) or placed(rows, *names))
+    for given in ({"transfer": held}, {"blocks": c.blocks}):
+        balance.balance(mine.withColumn("server_id", F.col("server_id") % 7), here, chains=1, steps=5, **given)
+    want = {tuple(r) for r in held.where("region_id < 20 and server_id < 7").collect()}
+    assert want and seen == [want, want]
+
+
 def test_gaps_at_once_are_those_of_each_group():
     p = problem(n=400, servers=7)
     p.initial = np.random.default_rng(4).integers(0, 7, 400)
